@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fairlead.llm import chat, mixing, quality
+from fairlead.llm import chat, media, mixing, quality, url_filter
 
-_MODULES = (chat, quality, mixing)
+_MODULES = (url_filter, media, chat, quality, mixing)
 
 
 def queries() -> dict:

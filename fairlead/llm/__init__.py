@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fairlead.llm import chat, media, mixing, quality, url_filter
+from fairlead.llm import chat, media, mixing, quality, simhash, token_count, url_filter
 
-_MODULES = (url_filter, media, chat, quality, mixing)
+_MODULES = (url_filter, media, token_count, simhash, chat, quality, mixing)
 
 
 def queries() -> dict:

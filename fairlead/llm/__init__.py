@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fairlead.llm import chat, media, mixing, packing, quality, simhash, token_count, url_filter
+from fairlead.llm import chat, media, mixing, packing, pii, quality, simhash, substring_dedup, token_count, url_filter
 
-_MODULES = (url_filter, media, token_count, simhash, chat, packing, quality, mixing)
+_MODULES = (url_filter, substring_dedup, media, pii, token_count, simhash, chat, packing, quality, mixing)
 
 
 def queries() -> dict:

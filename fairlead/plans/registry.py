@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: tuple = ()
+from fairlead.plans import traffic
+
+_MODULES = (traffic,)
 
 
 def queries() -> dict:

@@ -24,7 +24,7 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: The contractions that are pre-tokens of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Different pre-tokens that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 @lru_cache(maxsize=1)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fairlead.llm.media import in_batches, skinny
 
 LIMIT = 512
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 FILE = "byte_bpe_50k.json"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.functions import bits
+from fairlead.functions.stages import computed
 
 # Least number of bits of each type that is decoded (24: by part), and where its fields lie.
 NEEDED = {1: 143, 2: 143, 3: 143, 5: 302, 18: 139, 19: 301, 24: 40}
@@ -72,8 +73,8 @@ def payload_bits(payload: Column, fill_bits: Column) -> Column:
 def decode(sentences: DataFrame) -> DataFrame:
     """Whole sentences (payload, fill_bits) -> decode_error (`invalid`, `too_short`, `unknown_type`) or the fields."""
     b = F.col("_bits")
-    step = sentences.withColumn("_bits", payload_bits(F.col("payload"), F.col("fill_bits")))
-    step = step.withColumns({"_n": F.length(b), "_type": bits.unsigned(b, 0, 6).cast("int"), "_part": bits.unsigned(b, 38, 2).cast("int")})
+    step = computed(sentences, {"_bits": payload_bits(F.col("payload"), F.col("fill_bits"))})
+    step = computed(step, {"_n": F.length(b), "_type": bits.unsigned(b, 0, 6).cast("int"), "_part": bits.unsigned(b, 38, 2).cast("int")})
     kind, n, part = F.col("_type"), F.col("_n"), F.col("_part")
     needed = F.lit(38)
     for t, least in NEEDED.items():
@@ -81,7 +82,7 @@ def decode(sentences: DataFrame) -> DataFrame:
     for p, least in NEEDED_PART.items():
         needed = F.when((kind == 24) & (n >= 40) & (part == p), least).otherwise(needed)
     error = F.when(b.isNull(), "invalid").when(n < 38, "too_short").when((kind == 0) | (kind > 27), "unknown_type").when(n < needed, "too_short")
-    step = step.withColumn("decode_error", error)
+    step = computed(step, {"decode_error": error})
     is_a, is_b = kind.isin(*CLASS_A), kind.isin(*CLASS_B)
     a, c = _report(b, POSITION_A), _report(b, POSITION_B)
     out = {name: F.when(is_a, a[name]).when(is_b, c[name]) for name in a}
@@ -103,7 +104,8 @@ def decode(sentences: DataFrame) -> DataFrame:
         "part": F.when(kind == 24, part),
     }
     good = F.col("decode_error").isNull()
-    return step.select(*sentences.columns, "decode_error", *(F.when(good, out[name]).alias(name) for name in FIELDS))
+    step = computed(step, {name: F.when(good, out[name]) for name in FIELDS})
+    return step.select(*sentences.columns, "decode_error", *FIELDS)
 
 
 def as_json(messages: DataFrame) -> DataFrame:
@@ -111,10 +113,11 @@ def as_json(messages: DataFrame) -> DataFrame:
 
     def number(c: Column) -> Column:
         """Ten significant digits at most, without trailing zeros."""
-        scale = 9 - F.floor(F.log10(F.greatest(F.abs(c), F.lit(1e-300))))
-        shown = F.when(c == 0, "0").otherwise(F.format_string("%.10f", c))
-        wide = F.when(scale >= 10, shown).otherwise(F.format_number(c, 8))
-        return F.coalesce(F.regexp_replace(F.regexp_replace(F.when(F.abs(c) >= 100, F.regexp_replace(F.format_string("%.7f", c), ",", "")).when(F.abs(c) >= 10, F.format_string("%.8f", c)).when(F.abs(c) >= 1, F.format_string("%.9f", c)).otherwise(wide), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), F.lit("null"))
+        size, shown = F.abs(c), F.format_string("%.9e", c)
+        for k in range(-4, 10):
+            shown = F.when(size >= 10.0**k, F.format_string(f"%.{9 - k}f", c)).otherwise(shown)
+        bare = F.regexp_replace(shown, r"\.?0+(?=$|e)", "")
+        return F.when(c.isNull(), "null").when(c == 0, "0").otherwise(bare)
 
     def member(name: str, value: Column) -> Column:
         return F.concat(F.lit(f',"{name}":'), value)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.functions import bits, times
+from fairlead.functions.stages import computed
 
 # Names of parse errors.
 ERRORS = (
@@ -60,19 +61,17 @@ def parse(lines: DataFrame) -> DataFrame:
     """Lines (with a column `line`) and their fields: error, or talker, own_ship, fragment_count, fragment_number,
     sequence_id, channel, payload, fill_bits, source, unix_time."""
     trimmed = F.regexp_replace(F.regexp_replace(F.col("line"), r"[\r\n \t]+$", ""), r"^[ \t]+", "")
-    step = lines.withColumn("_line", trimmed)
+    step = computed(lines, {"_line": trimmed})
     tagged = F.col("_line").startswith("\\")
     tag_body = F.when(tagged, F.regexp_extract("_line", r"^\\([^\\]*)\\", 1))
     closed = F.col("_line").rlike(r"^\\[^\\]*\\")
     rest = F.when(tagged, F.regexp_replace("_line", r"^\\[^\\]*\\", "")).otherwise(F.col("_line"))
-    step = step.withColumns({"_tag": tag_body, "_closed": ~tagged | closed, "_rest": rest})
-    step = step.withColumns({"_tag_ok": ~tagged | (F.col("_closed") & _split_sum(F.col("_tag"))[1].isNotNull())})
-    tail = F.substr("_rest", F.lit(2))
-    has, body = _split_sum(tail)
-    step = step.withColumns({"_sum": has, "_body": body, "_tag": F.when(F.col("_tag_ok"), _split_sum(F.col("_tag"))[1])})
-    step = step.withColumn("_f", F.split("_body", ",", -1))
+    step = computed(step, {"_tag": tag_body, "_closed": ~tagged | closed, "_rest": rest})
+    has, body = _split_sum(F.substr("_rest", F.lit(2)))
+    step = computed(step, {"_tag": F.when(F.col("_closed"), _split_sum(F.col("_tag"))[1]), "_sum": has, "_body": body})
+    step = computed(step, {"_tag_ok": ~tagged | F.col("_tag").isNotNull(), "_f": F.split("_body", ",", -1)})
     part = lambda i: F.get("_f", F.lit(i))
-    step = step.withColumns({"_count": times.strict_int(part(1)), "_number": times.strict_int(part(2)), "_seq": times.strict_int(part(3)), "_fill": times.strict_int(part(6))})
+    step = computed(step, {"_count": times.strict_int(part(1)), "_number": times.strict_int(part(2)), "_seq": times.strict_int(part(3)), "_fill": times.strict_int(part(6))})
     wrong = lambda c: ~F.coalesce(c, F.lit(False))
     bad_fragment = (
         wrong(F.col("_count").between(1, 9)) | wrong(F.col("_number").between(1, 9)) | wrong(F.col("_number") <= F.col("_count"))
@@ -90,7 +89,7 @@ def parse(lines: DataFrame) -> DataFrame:
         .when(~part(5).rlike(f"^{bits.ARMOUR}*$"), "bad_payload_char")
         .when(wrong(F.col("_fill").between(0, 5)), "bad_fill_bits")
     )
-    step = step.withColumn("error", error)
+    step = computed(step, {"error": error})
     good = lambda c: F.when(F.col("error").isNull(), c)
     source, unix_time = tag_fields(F.col("_tag"))
     return step.select(

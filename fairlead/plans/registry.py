@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fairlead.plans import traffic
+from fairlead.plans import decoding, traffic, watching
 
-_MODULES = (traffic,)
+_MODULES = (traffic, decoding, watching)
 
 
 def queries() -> dict:

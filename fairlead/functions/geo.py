@@ -37,12 +37,13 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), _d(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), _d(2)
     )
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(_d(1), F.sqrt(half)))
+    # not least(1, ...), which would take a null for 1
+    return 2 * EARTH_RADIUS_M * F.asin(F.when(half > 1, 1.0).otherwise(F.sqrt(half)))
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     half = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
-    return f"(2 * {EARTH_RADIUS_M} * asin(least(1.0::DOUBLE, sqrt({half}))))"
+    return f"(2 * {EARTH_RADIUS_M} * asin(CASE WHEN {half} > 1 THEN 1.0::DOUBLE ELSE sqrt({half}) END))"
 
 
 def east_m(lat0: Column, lon0: Column, lon: Column) -> Column:

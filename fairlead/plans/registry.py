@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fairlead.plans import decoding, traffic, watching
+from fairlead.plans import decoding, evaluating, traffic, watching
 
-_MODULES = (traffic, decoding, watching)
+_MODULES = (traffic, decoding, watching, evaluating)
 
 
 def queries() -> dict:

@@ -353,14 +353,15 @@ def decode(files: list[bytes]) -> list[Image]:
         low = int(start[i])
         high = int(start[i + LANES_AT_ONCE]) if i + LANES_AT_ONCE < len(start) else offset
         window = data[low : high + 16]
-        _decode_lanes(window, start[part] - low, n_blocks[part], first[part], layout[owner[part]], per_mcu[owner[part]], luts, out.reshape(-1))
+        stop = np.append(start, offset)[i + 1 : i + 1 + LANES_AT_ONCE] - low
+        _decode_lanes(window, start[part] - low, stop, n_blocks[part], first[part], layout[owner[part]], per_mcu[owner[part]], luts, out.reshape(-1))
     ends = np.cumsum([len(i.order) * i.mcus[0] * i.mcus[1] for i in images])
     for image, to, n in zip(images, ends, np.diff(ends, prepend=0), strict=True):
         image.coefficients = out[to - n : to]
     return images
 
 
-def _decode_lanes(data, start, n_blocks, first, layout, per_mcu, luts, out) -> None:
+def _decode_lanes(data, start, stop, n_blocks, first, layout, per_mcu, luts, out) -> None:
     """Each turn of the loop takes the next Huffman symbol of every lane that isn't finished."""
     window = data[:-4] << 24 | data[1:-3] << 16 | data[2:-2] << 8 | data[3:-1]
     last_bit = 8 * (len(window) - 1)
@@ -413,5 +414,7 @@ def _decode_lanes(data, start, n_blocks, first, layout, per_mcu, luts, out) -> N
                 in_mcu[full] = (in_mcu[full] + 1) % per_mcu[full]
             live = n_done < n_blocks
             if not live.all():
-                pos, k, block, n_done, in_mcu, lane = (x[live] for x in (pos, k, block, n_done, in_mcu, lane))
+                if (pos[~live] > 8 * stop[~live]).any():
+                    raise ValueError("a restart interval ends too early")
+                pos, k, block, n_done, in_mcu, lane, stop = (x[live] for x in (pos, k, block, n_done, in_mcu, lane, stop))
                 layout, per_mcu, n_blocks = layout[live], per_mcu[live], n_blocks[live]

@@ -141,8 +141,8 @@ def score(cells_col: Column, ratios: Column) -> Column:
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row, one double: the edge of a bin with the greatest sum of both kinds' hit rates, the nearest to 0 of
-    equals; 0 where a kind is missing. From (verdict, score)."""
+    """One row, one double: the cut between neighbouring bins, half-way where bins between them are empty, with the
+    greatest sum of both kinds' hit rates, the nearest to 0 of equals; 0 where a kind is missing. From (verdict, score)."""
     edge = F.greatest(F.least(F.floor(F.col("score") * BINS), F.lit(LAST_BIN)), F.lit(-LAST_BIN))
     kinds = (F.sum((F.col("verdict") == kind).cast("long")).alias(kind) for kind in ("allow", "block"))
     bins = scored.groupBy(edge.alias("bin")).agg(*kinds)
@@ -153,11 +153,12 @@ def threshold(scored: DataFrame) -> DataFrame:
         "bin",
         F.sum("allow").over(up).alias("kept"), F.coalesce(F.sum("block").over(down), F.lit(0)).alias("dropped"),
         F.sum("allow").over(every).alias("allows"), F.sum("block").over(every).alias("blocks"),
+        ((F.col("bin") + F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.col("bin"))) / 2).alias("cut"),
     )
     gain = F.col("kept") * F.col("blocks") + F.col("dropped") * F.col("allows")
-    best = F.max(F.struct(gain.alias("gain"), (-F.abs("bin")).alias("near"), F.col("bin")))
+    best = F.max(F.struct(gain.alias("gain"), (-F.abs("cut")).alias("near"), F.col("cut")))
     both = (F.max("allows") > 0) & (F.max("blocks") > 0)
-    return ranked.agg(F.when(both, best["bin"] / BINS).otherwise(0.0).cast("double").alias("threshold"))
+    return ranked.agg(F.when(both, best["cut"] / BINS).otherwise(0.0).cast("double").alias("threshold"))
 
 
 def parsed(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -228,8 +229,9 @@ scored AS (SELECT *, list_sum(list_transform(cells, lambda c: w[c + 1])) / len(c
 bins AS (SELECT greatest(least(floor(score * {BINS}), {LAST_BIN}), -{LAST_BIN}) AS bin, count(*) FILTER (WHERE ruling = 'allow') AS allow, count(*) FILTER (WHERE ruling = 'block') AS block
          FROM scored WHERE ruling IS NOT NULL AND held GROUP BY bin),
 ranked AS (SELECT bin, sum(allow) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS kept,
-             coalesce(sum(block) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dropped, sum(allow) OVER () AS allows, sum(block) OVER () AS blocks FROM bins),
-cut AS (SELECT coalesce((SELECT bin / {BINS} FROM ranked WHERE allows > 0 AND blocks > 0 ORDER BY kept * blocks + dropped * allows DESC, abs(bin), bin DESC LIMIT 1), 0) AS threshold)
+             coalesce(sum(block) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dropped, sum(allow) OVER () AS allows, sum(block) OVER () AS blocks,
+             (bin + coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin)) / 2 AS middle FROM bins),
+cut AS (SELECT coalesce((SELECT middle / {BINS} FROM ranked WHERE allows > 0 AND blocks > 0 ORDER BY kept * blocks + dropped * allows DESC, abs(middle), middle DESC LIMIT 1), 0) AS threshold)
 SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict FROM scored, cut"""
 }
 QUERIES = {"op1_url_filter": op1_url_filter}

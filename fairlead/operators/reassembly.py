@@ -106,5 +106,5 @@ def reassemble_bounded(parsed: DataFrame, most: int = 256) -> DataFrame:
                 out.append({n: payload if n == "payload" else getattr(row, n) for n in _NAMES})
         return pd.DataFrame(out, columns=_NAMES)
 
-    fragments = _keyed(parsed).groupBy(F.lit(0)).applyInPandas(fold, OUT)
+    fragments = _keyed(parsed).groupBy(F.lit("stream").alias("stream")).applyInPandas(fold, OUT)
     return _whole(parsed).unionByName(fragments)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions import geo
@@ -70,18 +70,18 @@ def eligible(fixes: DataFrame) -> DataFrame:
 def planted(fixes: DataFrame, seeds: list[int], each: int = 5, gap_s: float = 900.0) -> tuple[DataFrame, DataFrame]:
     """(fixes with a column seed, labels (seed, kind, mmsi, from_t, to_t)): `each` anomalies of every kind for each seed.
 
-    A chosen vessel's middle gets: one report of 80 to 100 kn; one report 5 to 10 km off; no reports for gap_s; or a
+    A chosen vessel gets, somewhere before its last third: one report of 80 to 100 kn; one report 5 to 10 km off; no reports for gap_s; or a
     second transmitter 20 km away that repeats its reports half a minute later. All seeds are one frame.
     """
     spark = fixes.sparkSession
     runs = spark.createDataFrame([(s,) for s in seeds], "seed int")
     rank = eligible(fixes).crossJoin(F.broadcast(runs)).withColumn("u", uniform(F.col("seed"), "mmsi"))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("seed").orderBy("u", "mmsi")) - 1
     chosen = rank.withColumn("place", place).filter(F.col("place") < each * len(KINDS))
     kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("place") % len(KINDS)).cast("int"))
-    middle = F.floor((F.col("first_t") + F.col("last_t")) / 2)
+    # at different times, or silences that end together would pass for lost coverage
+    share = 0.2 + 0.4 * uniform(F.col("seed"), "mmsi", F.lit(3))
+    middle = F.floor(F.col("first_t") + share * (F.col("last_t") - F.col("first_t")))
     chosen = chosen.select("seed", "mmsi", kind.alias("kind"), middle.alias("at"))
     rows = fixes.crossJoin(F.broadcast(runs)).join(F.broadcast(chosen), ["seed", "mmsi"], "left")
     after = (F.col("kind").isNotNull()) & (F.col("t") >= F.col("at"))

@@ -235,7 +235,7 @@ def test_interpolation_gives_null_without_neighbours(spark):
 
 def test_planted_anomalies_are_found(spark):
     rows = [r for m in range(1, 41) for r in steaming(120, mmsi=m, seq=10_000 * m, north_m=3000.0 * m)]
-    rows += [(5_000_000 + k, *r[1:]) for k, r in enumerate(moored(60))]
+    rows += [(5_000_000 + k, *r[1:]) for k, r in enumerate(moored(59))]
     planted, labels = workloads.planted(spark.createDataFrame(rows, FIXES), [1], 5)
     found = evaluate.recall(labels.drop("seed"), anomalies.detect(planted.drop("seed"))).collect()
     assert {r.kind: r.found for r in found} == {k: 5 for k in workloads.KINDS}

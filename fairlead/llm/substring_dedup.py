@@ -22,7 +22,7 @@ by 64-bit polynomial hashes.
 
 Defined results: a null or empty text has 0 bytes, nothing removed and the hash of no bytes; equal texts of LENGTH
 bytes or more are removed from each other wholly; rows are numbered by partition and place, so null or repeated ids
-are rows of their own (the input has to be a table or otherwise stable); an empty table gives an empty result; other
+are rows of their own; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -189,7 +189,7 @@ def anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
         for parts in chunks(texts, length):
             yield _arrow(stretches(parts, rolling, length, gram), ["gram", "stretch", "rid", "place"])
 
-    return rows.select("rid", "raw").mapInArrow(work, "gram long, stretch long, rid long, place long")
+    return rows.mapInArrow(work, "gram long, stretch long, rid long, place long")
 
 
 def _first(place: Column) -> Column:
@@ -201,9 +201,11 @@ def _more(place: Column) -> Column:
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(raw, rid, wanted: array of struct) for the texts that stretches are wanted of."""
+    """The rows that stretches are wanted of, with `wanted`, an array of struct. All their columns are kept, here and
+    wherever rows are read, so that every branch deals out the same frame: it is shuffled once, and an input that isn't
+    a table can't be numbered in two ways."""
     per_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("gram", "place", "n")).alias("wanted"))
-    return rows.join(per_text, "rid").select("rid", "raw", "wanted")
+    return rows.join(per_text, "rid")
 
 
 def _ends(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
@@ -272,16 +274,17 @@ def _hot_ends(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 
 def duplicated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(rid, start, stop) of stretches to remove, which may overlap, from (rid, raw)."""
+    # counts are kept before they are joined with: a join right above an aggregation isn't split where a key is skewed
     every = anchors(rows, length, gram)
-    shared = every.groupBy("gram").count().filter("count > 1").select("gram")
+    shared = durable(every.groupBy("gram").count().filter("count > 1").select("gram"))
     placed = durable(every.join(shared, "gram", "left_semi"))
-    kinds = placed.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("rep"))
+    kinds = durable(placed.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("rep")))
     again = kinds.filter("n > 1").select("gram", "stretch")
     place = F.col("place")
     whole = placed.join(again, ["gram", "stretch"], "left_semi").select(
         "rid", _first(place).alias("start"), (_first(place) + _more(place) + length).alias("stop")
     )
-    several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    several = durable(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     reps = kinds.join(several, "gram").select("gram", "kinds", "n", "rep.rid", "rep.place")
     few, many = reps.filter(F.col("kinds") <= hot), reps.filter(F.col("kinds") > hot)
     return whole.unionByName(_ends(rows, few, length)).unionByName(_hot_ends(rows, many, length))
@@ -309,7 +312,7 @@ def cleaned(
             yield _arrow([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_rest
-    return rows.join(found, "rid", "left").select("doc_id", "raw", "spans").mapInArrow(work, schema)
+    return rows.join(found, "rid", "left").mapInArrow(work, schema)
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:

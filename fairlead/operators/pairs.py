@@ -1,8 +1,8 @@
 """Pairs of points within a radius: a range self-join as an equi-join on grid cells.
 
 Points are put on the sphere in three dimensions, so the date line and the poles are like any other place. Cells are
-cubes as wide as the chord of the radius; a row meets the rows of the 27 cells around its own, each pair once. All
-variants give the same pairs; `method` picks how candidates are found.
+cubes as wide as the chord of the radius; a row meets the rows of its own cell and of the 26 around it, each pair once,
+by spreading one side over half of the neighbours. All variants give the same pairs; `method` picks how candidates are found.
 
 A cell is the key of a shuffled join, so a dense place (a port, an anchorage) is a large partition that adaptive
 execution splits. `by` columns (a minute, say) are part of the key: many snapshots are searched as one job.
@@ -10,6 +10,8 @@ execution splits. `by` columns (a minute, say) are part of the key: many snapsho
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,41 +30,49 @@ def _cell(axis: str, side: float) -> Column:
     return F.floor(F.col(f"p.{axis}") / side).cast("long")
 
 
-def _grid(placed: DataFrame, side: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Left rows in their own cell, right rows in theirs and its neighbours."""
-    own = placed.select("*", *(_cell(a, side).alias(f"c{a}") for a in "xyz"))
-    around = F.array(*(F.struct(*(F.lit(d).alias(n) for n, d in zip("xyz", (i, j, k), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    spread = own.withColumn("d", F.explode(around))
-    right = spread.select(
-        *placed.columns, *((F.col(f"c{a}") + F.col(f"d.{a}")).alias(f"c{a}") for a in "xyz")
-    )
-    return own, right, ["cx", "cy", "cz"]
+def half_neighbours(dimensions: int) -> list[tuple[int, ...]]:
+    """The zero offset and one of each two opposite offsets to a neighbouring cell."""
+    every = list(product((-1, 0, 1), repeat=dimensions))
+    return every[len(every) // 2 :]
+
 
+def _met(placed: DataFrame, by: list[str], axes: str, side: float) -> DataFrame:
+    """Rows (by..., a, b) whose cells on the axes are the same or neighbours, each pair of rows once.
 
-def _latitude(placed: DataFrame, side: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Bands of latitude as high as the radius: the classic sweep as an equi-join on a band and its neighbours."""
-    band = _cell("z", side)
-    right = placed.withColumn("d", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    return placed.withColumn("band", band), right.select(*placed.columns, (band + F.col("d")).alias("band")), ["band"]
+    Left rows are in their own cell, right rows in theirs and in half of its neighbours; of two cells only one is
+    among the other's half.
+    """
+    names = [f"c{axis}" for axis in axes]
+    own = placed.select("*", *(_cell(axis, side).alias(n) for axis, n in zip(axes, names, strict=True)))
+    offsets = F.array(*(F.struct(*(F.lit(d).alias(n) for n, d in zip(names, o, strict=True))) for o in half_neighbours(len(names))))
+    spread = own.withColumn("o", F.explode(offsets))
+    same = F.greatest(F.lit(0), *(F.abs(F.col(f"o.{n}")) for n in names)) == 0
+    right = spread.select(*by, F.col("p").alias("b"), same.alias("same"), *((F.col(n) + F.col(f"o.{n}")).alias(n) for n in names))
+    met = own.withColumnRenamed("p", "a").join(right, [*by, *names])
+    return met.filter("a.id < b.id OR (NOT same AND a.id > b.id)").select(*by, "a", "b")
 
 
 def candidates(
     points: DataFrame, radius_m: float, method: str = "grid", id_col: str = "id", by: list[str] | None = None, carry: list[str] | None = None
 ) -> DataFrame:
-    """(by..., a, b, chord2): pairs that a method compares, a.id < b.id, with the squared chord between them."""
+    """(by..., a, b, chord2): pairs that a method compares, a.id < b.id, with the squared chord between them.
+
+    The grid has cubes; `latitude` has bands as high as the radius, which is the classic sweep as an equi-join.
+    """
     by, carry = by or [], carry or []
     placed = _placed(points, id_col, by, carry)
     side = max(1.0, geo.chord_m(radius_m))
     if method == "brute":
-        left, right, cell = placed, placed, []
+        left, right = placed.withColumnRenamed("p", "a"), placed.withColumnRenamed("p", "b")
+        met = (left.join(right, by) if by else left.crossJoin(right)).filter("a.id < b.id")
     else:
-        left, right, cell = {"grid": _grid, "latitude": _latitude}[method](placed, side)
-    left = left.withColumnRenamed("p", "a")
-    right = right.withColumnRenamed("p", "b")
-    on = [*by, *cell]
-    met = left.join(right, on) if on else left.crossJoin(right)
+        met = _met(placed, by, {"grid": "xyz", "latitude": "z"}[method], side)
     square = lambda axis: F.pow(F.col(f"a.{axis}") - F.col(f"b.{axis}"), F.lit(2.0))
-    return met.filter("a.id < b.id").select(*by, "a", "b", (square("x") + square("y") + square("z")).alias("chord2"))
+    first = F.col("a.id") < F.col("b.id")
+    return met.select(
+        *by, F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"),
+        (square("x") + square("y") + square("z")).alias("chord2"),
+    )
 
 
 def within(

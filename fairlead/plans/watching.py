@@ -100,6 +100,43 @@ s AS (SELECT *, CASE WHEN coalesce(len(before), 0) < 5 THEN 0 ELSE (SELECT count
 j AS (SELECT mmsi, t, value, CAST(down AS BIGINT) AS down, (SELECT count(*) FROM k WHERE k.t >= s.t - 120 AND k.t < s.t + 120) - 1 AS others FROM s),
 judged AS (SELECT *, CASE WHEN value - 60 * down < 600 THEN 'outage' WHEN others >= 3 THEN 'coverage_returned' ELSE 'gap' END AS judged FROM j)"""
 
+_M = geo.M_PER_DEG
+_WRAP = "((({0}) + 540.0::DOUBLE) % 360.0::DOUBLE - 180.0::DOUBLE)"
+#: tracked(...): the tracker as a recursion over each vessel's n-th fix; every level of subqueries adds what the next needs.
+TRACKED_SQL = f"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t, seq) AS k, sog * {geo.KNOT_MS} * sin(radians(cog)) AS ze, sog * {geo.KNOT_MS} * cos(radians(cog)) AS zn,
+               sog IS NOT NULL AND cog IS NOT NULL AS moving, 225.0::DOUBLE AS r FROM fixes),
+tracked AS (
+  SELECT k, mmsi, seq, t AS moment, 'started' AS outcome, CAST(NULL AS DOUBLE) AS nis, lat AS lat0, lon AS lon0, 0.0::DOUBLE AS e, 0.0::DOUBLE AS n, CASE WHEN moving THEN ze ELSE 0.0::DOUBLE END AS ve,
+    CASE WHEN moving THEN zn ELSE 0.0::DOUBLE END AS vn, r AS p, 0.0::DOUBLE AS c, CASE WHEN moving THEN 0.01::DOUBLE ELSE 25.0::DOUBLE END AS v, t, 0 AS rejects, 1 AS updates,
+    CAST(NULL AS DOUBLE) AS plat, CAST(NULL AS DOUBLE) AS plon, CAST(NULL AS DOUBLE) AS psigma FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT k, mmsi, seq, moment, outcome, nis,
+    CASE WHEN fresh THEN flat WHEN far THEN lat0 + un / {_M} ELSE lat0 END, CASE WHEN fresh THEN flon WHEN far THEN {_WRAP.format(f"lon0 + ue / ({_M} * cos(radians(lat0)))")} ELSE lon0 END,
+    CASE WHEN fresh OR far THEN 0.0::DOUBLE WHEN outcome = 'updated' THEN ue ELSE e END, CASE WHEN fresh OR far THEN 0.0::DOUBLE WHEN outcome = 'updated' THEN un ELSE n END,
+    CASE WHEN fresh THEN CASE WHEN moving THEN ze ELSE 0.0::DOUBLE END WHEN outcome = 'updated' THEN uve ELSE ve END, CASE WHEN fresh THEN CASE WHEN moving THEN zn ELSE 0.0::DOUBLE END WHEN outcome = 'updated' THEN uvn ELSE vn END,
+    CASE WHEN fresh THEN r WHEN outcome = 'updated' THEN a11 * a11 * p1 + 2 * a11 * a12 * c1 + a12 * a12 * v1 + k11 * k11 * r + k12 * k12 * rv ELSE p END,
+    CASE WHEN fresh THEN 0.0::DOUBLE WHEN outcome = 'updated' THEN a11 * a21 * p1 + (a11 * a22 + a12 * a21) * c1 + a12 * a22 * v1 + k11 * k21 * r + k12 * k22 * rv ELSE c END,
+    CASE WHEN fresh THEN CASE WHEN moving THEN 0.01::DOUBLE ELSE 25.0::DOUBLE END WHEN outcome = 'updated' THEN a21 * a21 * p1 + 2 * a21 * a22 * c1 + a22 * a22 * v1 + k21 * k21 * r + k22 * k22 * rv ELSE v END,
+    CASE WHEN fresh OR outcome = 'updated' THEN moment ELSE t END, CASE WHEN fresh OR outcome = 'updated' THEN 0 WHEN outcome = 'rejected' THEN rejects + 1 ELSE rejects END,
+    CASE WHEN fresh THEN 1 WHEN outcome = 'updated' THEN updates + 1 ELSE updates END, plat, plon, psigma
+  FROM (SELECT *, e1 + k11 * ye + k12 * se AS ue, n1 + k11 * yn + k12 * sn AS un, ve + k21 * ye + k22 * se AS uve, vn + k21 * yn + k22 * sn AS uvn, 1 - k11 AS a11, CASE WHEN moving THEN -k12 ELSE 0 END AS a12,
+          -k21 AS a21, CASE WHEN moving THEN 1 - k22 ELSE 1 END AS a22, outcome = 'updated' AND sqrt(pow(e1 + k11 * ye + k12 * se, 2) + pow(n1 + k11 * yn + k12 * sn, 2)) > 20000 AS far
+        FROM (SELECT *, CASE WHEN moving THEN (p1 * d - c1 * c1) / det ELSE p1 / (p1 + r) END AS k11, CASE WHEN moving THEN (c1 * a - p1 * c1) / det ELSE 0 END AS k12,
+                CASE WHEN moving THEN (c1 * d - v1 * c1) / det ELSE c1 / (p1 + r) END AS k21, CASE WHEN moving THEN (v1 * a - c1 * c1) / det ELSE 0 END AS k22,
+                CASE WHEN stale THEN 'started' WHEN dt < -0.5 THEN 'out_of_order' WHEN dt < 0.5 THEN 'duplicate' WHEN y2 <= 18.42 THEN 'updated' WHEN rejects + 1 < 3 THEN 'rejected' ELSE 'restarted' END AS outcome,
+                stale OR (dt >= 0.5 AND y2 > 18.42 AND rejects + 1 >= 3) AS fresh, CASE WHEN NOT stale AND dt >= 0.5 THEN y2 END AS nis
+              FROM (SELECT *, (ye * ye + yn * yn) / (p1 + r) AS y2, p1 + r AS a, v1 + 0.01::DOUBLE AS d, (p1 + r) * (v1 + 0.01::DOUBLE) - c1 * c1 AS det, CASE WHEN moving THEN ze - ve ELSE 0 END AS se,
+                      CASE WHEN moving THEN zn - vn ELSE 0 END AS sn, CASE WHEN moving THEN 0.01::DOUBLE ELSE 0 END AS rv, lat0 + n1 / {_M} AS plat, {_WRAP.format(f"lon0 + e1 / ({_M} * cos(radians(lat0)))")} AS plon, sqrt(p1) AS psigma
+                    FROM (SELECT *, {_WRAP.format("flon - lon0")} * {_M} * cos(radians(lat0)) - e1 AS ye, (flat - lat0) * {_M} - n1 AS yn
+                          FROM (SELECT *, e + ahead * ve AS e1, n + ahead * vn AS n1, p + 2 * ahead * c + ahead * ahead * v + 0.0025::DOUBLE * pow(ahead, 4) / 4 AS p1, c + ahead * v + 0.0025::DOUBLE * pow(ahead, 3) / 2 AS c1,
+                                  v + 0.0025::DOUBLE * ahead * ahead AS v1
+                                FROM (SELECT f.k, f.mmsi, f.seq, f.t AS moment, f.lat AS flat, f.lon AS flon, f.ze, f.zn, f.moving, f.r, s.lat0, s.lon0, s.e, s.n, s.ve, s.vn, s.p, s.c, s.v, s.t, s.rejects, s.updates,
+                                        f.t - s.t AS dt, greatest(f.t - s.t, 0) AS ahead, floor(f.t / 60) * 60 - s.t > 1800 AS stale
+                                      FROM tracked s JOIN numbered f ON f.mmsi = s.mmsi AND f.k = s.k + 1))))))),
+placed AS (SELECT *, lat0 + n / {_M} AS lat, {_WRAP.format(f"lon0 + e / ({_M} * cos(radians(lat0)))")} AS lon, sqrt(p) AS sigma_m FROM tracked)"""
+_TRACKED = f"WITH RECURSIVE {FIXES_SQL}, {TRACKED_SQL}"
+
 QUERIES = {
     "t5_tracked": t5_tracked, "t6_predictions": t6_predictions, "t8_tracks": t8_tracks, "t9_statistics": t9_statistics,
     "r5_track_encounters": r5_track_encounters, "a1_impossible_speeds": a1_impossible_speeds, "a2_reachable": a2_reachable,
@@ -107,6 +144,12 @@ QUERIES = {
     "a11_statistics": a11_statistics, "a12_implied_speeds": a12_implied_speeds, "e16_summary": e16_summary,
 }
 ORACLES = {
+    "t5_tracked": f"{_TRACKED} SELECT seq, mmsi, outcome, round(nis, 4) AS nis, round(lat, 6) AS lat, round(lon, 6) AS lon, round(sigma_m, 3) AS sigma_m, CAST(updates AS BIGINT) AS updates FROM placed",
+    "t6_predictions": f"{_TRACKED} SELECT seq, round(plat, 6) AS predicted_lat, round(plon, 6) AS predicted_lon, round(psigma, 3) AS predicted_sigma_m FROM placed",
+    "t8_tracks": f"""{_TRACKED}, last AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY k DESC) AS back FROM placed)
+        SELECT mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, round(ve, 4) + 0 AS v_east, round(vn, 4) + 0 AS v_north, round(sigma_m, 3) AS sigma_m, CAST(updates AS BIGINT) AS updates FROM last WHERE back = 1""",
+    "t9_statistics": f"""{_TRACKED} SELECT 'fixes' AS counter, count(*) AS n FROM placed UNION ALL SELECT 'vessels', count(DISTINCT mmsi) FROM placed
+        UNION ALL SELECT o, count(*) FILTER (WHERE outcome = o) FROM placed, (VALUES {", ".join(f"('{o}')" for o in tracker.OUTCOMES)}) w(o) GROUP BY o""",
     "a1_impossible_speeds": f"WITH {FIXES_SQL} SELECT 'impossible_speed' AS kind, mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, sog AS value, 0::DOUBLE AS distance_m FROM fixes WHERE sog > 50",
     "a2_reachable": f"""WITH {FIXES_SQL}, {_PREVIOUS} SELECT seq, {_STEP} <= CASE WHEN sog IS NOT NULL AND bsog IS NOT NULL THEN least(50, greatest(sog, bsog) + 15) ELSE 50 END * {geo.KNOT_MS} * abs(t - bt) + 500 AS reachable
         FROM b WHERE bt IS NOT NULL""",

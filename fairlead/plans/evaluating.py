@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fairlead.functions import geo
 from fairlead.operators import anomalies, evaluate, feed, pairs, risk, tracker, workloads
 from fairlead.plans.traffic import FIXES_SQL, MOTIONS_SQL, RISKS_SQL, rounded
+from fairlead.plans.watching import TRACKED_WITH
 from fairlead.sources.tables import T0, fixes
 
 HALF = T0 + 3240.0
@@ -224,6 +225,8 @@ ORACLES = {
     "e9_commercial": f"{_RISKS} SELECT minute, mmsi_a, mmsi_b FROM risks WHERE mmsi_a % 7 < 4 AND mmsi_b % 7 < 4",
     "e10_hold_errors": _error_sql("hold_m"),
     "e10_dead_reckoning_errors": _error_sql("dead_reckoning_m"),
+    "e10_track_errors": f"""{TRACKED_WITH}, {_ERRORS}, both_ AS (SELECT {_STEPS} AS step, moving, {geo.haversine_sql("k.plat", "k.plon", "m.lat", "m.lon")} AS track_m FROM m JOIN placed k ON k.seq = m.seq)
+        SELECT step, moving, count(*) AS n, {_quantile("track_m", 0.5, 2)} AS q50, {_quantile("track_m", 0.9, 2)} AS q90 FROM both_ WHERE step IS NOT NULL AND track_m IS NOT NULL GROUP BY step, moving""",
     "e17_disagreements": f"WITH {FIXES_SQL} SELECT seq, CASE WHEN seq % 100 = 0 THEN 'ours' ELSE 'both' END AS side FROM fixes WHERE seq % 100 = 0 OR seq % 50 = 1",
     "f1_changes": f"""WITH {FIXES_SQL}, {_last_sql("a", f"t <= {HALF}")}, {_last_sql("b", "true")}
         SELECT coalesce(a.mmsi, b.mmsi) AS mmsi, CASE WHEN b.mmsi IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.mmsi = b.mmsi WHERE b.mmsi IS NULL OR a.mmsi IS NULL OR a.t <> b.t""",

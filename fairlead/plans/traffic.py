@@ -127,6 +127,14 @@ risks AS (SELECT minute, mmsi_a, mmsi_b, type, range_m, tcpa_s, dcpa_m,
             CASE WHEN type = 'overtaking' AND sb OR type = 'crossing' AND NOT pb THEN 'stand_on' ELSE 'give_way' END AS role_b FROM kinds)"""
 _METRES = "round(range_m, 3) AS range_m, round(tcpa_s, 2) AS tcpa_s, round(dcpa_m, 2) AS dcpa_m"
 
+#: The encounters that risks make.
+SESSIONS_SQL = """
+marked AS (SELECT *, CASE WHEN minute - lag(minute) OVER w <= 90 THEN 0 ELSE 1 END AS new FROM risks WINDOW w AS (PARTITION BY mmsi_a, mmsi_b ORDER BY minute)),
+sessions AS (SELECT *, sum(new) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY minute) AS n FROM marked)
+SELECT min(minute) AS minute, max(minute) AS last_minute, count(*) AS minutes, mmsi_a, mmsi_b, arg_min(type, minute) AS type, arg_min(role_a, minute) AS role_a, arg_min(role_b, minute) AS role_b,
+  round(arg_min(range_m, minute), 3) AS range_m, round(arg_min(tcpa_s, minute), 2) AS tcpa_s, round(arg_min(dcpa_m, minute), 2) AS dcpa_m
+FROM sessions GROUP BY mmsi_a, mmsi_b, n"""
+
 QUERIES = {
     "p1_ordered_pairs": p1_ordered_pairs,
     "p2_pairs_brute": _pairs("brute"),
@@ -156,10 +164,5 @@ SELECT seq, round({geo.haversine_sql("lat", "lon", "55.7::DOUBLE", "12.6::DOUBLE
     "r8_motions": f"WITH {FIXES_SQL}, {MOTIONS_SQL} SELECT minute, mmsi, round(lat, 6) AS lat, round(lon, 6) AS lon, round(v_east, 5) + 0 AS v_east, round(v_north, 5) + 0 AS v_north FROM motions",
     "r1_closest_approach": f"WITH {FIXES_SQL}, {MOTIONS_SQL}, {met_sql('motions', False)} SELECT minute, mmsi_a, mmsi_b, {_METRES} FROM met",
     "r4_at_risk": f"WITH {FIXES_SQL}, {MOTIONS_SQL}, {RISKS_SQL} SELECT minute, mmsi_a, mmsi_b, type, role_a, role_b, {_METRES} FROM risks",
-    "r6_encounters": f"""WITH {FIXES_SQL}, {MOTIONS_SQL}, {RISKS_SQL},
-marked AS (SELECT *, CASE WHEN minute - lag(minute) OVER w <= 90 THEN 0 ELSE 1 END AS new FROM risks WINDOW w AS (PARTITION BY mmsi_a, mmsi_b ORDER BY minute)),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY minute) AS n FROM marked)
-SELECT min(minute) AS minute, max(minute) AS last_minute, count(*) AS minutes, mmsi_a, mmsi_b, arg_min(type, minute) AS type, arg_min(role_a, minute) AS role_a, arg_min(role_b, minute) AS role_b,
-  round(arg_min(range_m, minute), 3) AS range_m, round(arg_min(tcpa_s, minute), 2) AS tcpa_s, round(arg_min(dcpa_m, minute), 2) AS dcpa_m
-FROM numbered GROUP BY mmsi_a, mmsi_b, n""",
+    "r6_encounters": f"WITH {FIXES_SQL}, {MOTIONS_SQL}, {RISKS_SQL}, {SESSIONS_SQL}",
 }

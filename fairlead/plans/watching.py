@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions import geo
 from fairlead.operators import anomalies, risk, tracker
-from fairlead.plans.traffic import _ROUND, rounded
+from fairlead.plans.traffic import _ROUND, RISKS_SQL, SESSIONS_SQL, rounded
 from fairlead.sources.tables import FIXES_SQL, fixes
 
 
@@ -135,7 +135,11 @@ tracked AS (
                                         f.t - s.t AS dt, greatest(f.t - s.t, 0) AS ahead, floor(f.t / 60) * 60 - s.t > 1800 AS stale
                                       FROM tracked s JOIN numbered f ON f.mmsi = s.mmsi AND f.k = s.k + 1))))))),
 placed AS (SELECT *, lat0 + n / {_M} AS lat, {_WRAP.format(f"lon0 + e / ({_M} * cos(radians(lat0)))")} AS lon, sqrt(p) AS sigma_m FROM tracked)"""
-_TRACKED = f"WITH RECURSIVE {FIXES_SQL}, {TRACKED_SQL}"
+TRACKED_WITH = f"WITH RECURSIVE {FIXES_SQL}, {TRACKED_SQL}"
+_TRACK_MOTIONS = f"""
+accepted AS (SELECT *, lead(moment) OVER (PARTITION BY mmsi ORDER BY moment, seq) AS next_t, (floor(moment / 60) + 1) * 60 AS minute FROM placed WHERE outcome IN ('started', 'updated', 'restarted')),
+motions AS (SELECT minute, mmsi, lat + vn * (minute - moment) / {_M} AS lat, lon + ve * (minute - moment) / ({_M} * cos(radians(lat))) AS lon, ve AS v_east, vn AS v_north FROM accepted
+            WHERE (next_t IS NULL OR next_t >= minute) AND minute - moment <= 60 AND minute <= (SELECT floor(max(t) / 60) * 60 FROM fixes))"""
 
 QUERIES = {
     "t5_tracked": t5_tracked, "t6_predictions": t6_predictions, "t8_tracks": t8_tracks, "t9_statistics": t9_statistics,
@@ -144,12 +148,13 @@ QUERIES = {
     "a11_statistics": a11_statistics, "a12_implied_speeds": a12_implied_speeds, "e16_summary": e16_summary,
 }
 ORACLES = {
-    "t5_tracked": f"{_TRACKED} SELECT seq, mmsi, outcome, round(nis, 4) AS nis, round(lat, 6) AS lat, round(lon, 6) AS lon, round(sigma_m, 3) AS sigma_m, CAST(updates AS BIGINT) AS updates FROM placed",
-    "t6_predictions": f"{_TRACKED} SELECT seq, round(plat, 6) AS predicted_lat, round(plon, 6) AS predicted_lon, round(psigma, 3) AS predicted_sigma_m FROM placed",
-    "t8_tracks": f"""{_TRACKED}, last AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY k DESC) AS back FROM placed)
+    "t5_tracked": f"{TRACKED_WITH} SELECT seq, mmsi, outcome, round(nis, 4) AS nis, round(lat, 6) AS lat, round(lon, 6) AS lon, round(sigma_m, 3) AS sigma_m, CAST(updates AS BIGINT) AS updates FROM placed",
+    "t6_predictions": f"{TRACKED_WITH} SELECT seq, round(plat, 6) AS predicted_lat, round(plon, 6) AS predicted_lon, round(psigma, 3) AS predicted_sigma_m FROM placed",
+    "t8_tracks": f"""{TRACKED_WITH}, last AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY k DESC) AS back FROM placed)
         SELECT mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, round(ve, 4) + 0 AS v_east, round(vn, 4) + 0 AS v_north, round(sigma_m, 3) AS sigma_m, CAST(updates AS BIGINT) AS updates FROM last WHERE back = 1""",
-    "t9_statistics": f"""{_TRACKED} SELECT 'fixes' AS counter, count(*) AS n FROM placed UNION ALL SELECT 'vessels', count(DISTINCT mmsi) FROM placed
+    "t9_statistics": f"""{TRACKED_WITH} SELECT 'fixes' AS counter, count(*) AS n FROM placed UNION ALL SELECT 'vessels', count(DISTINCT mmsi) FROM placed
         UNION ALL SELECT o, count(*) FILTER (WHERE outcome = o) FROM placed, (VALUES {", ".join(f"('{o}')" for o in tracker.OUTCOMES)}) w(o) GROUP BY o""",
+    "r5_track_encounters": f"{TRACKED_WITH}, {_TRACK_MOTIONS}, {RISKS_SQL}, {SESSIONS_SQL}",
     "a1_impossible_speeds": f"WITH {FIXES_SQL} SELECT 'impossible_speed' AS kind, mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, sog AS value, 0::DOUBLE AS distance_m FROM fixes WHERE sog > 50",
     "a2_reachable": f"""WITH {FIXES_SQL}, {_PREVIOUS} SELECT seq, {_STEP} <= CASE WHEN sog IS NOT NULL AND bsog IS NOT NULL THEN least(50, greatest(sog, bsog) + 15) ELSE 50 END * {geo.KNOT_MS} * abs(t - bt) + 500 AS reachable
         FROM b WHERE bt IS NOT NULL""",

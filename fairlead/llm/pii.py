@@ -7,6 +7,7 @@ different ones, and who holds the key can invert them.
 
     kind    found                                              stays valid as
     card    13 to 19 digits, or groups of four; Luhn           first digit kept, check digit computed anew
+    iban    2 letters, check digits, account; remainder 97     country, letters and spaces kept, check digits anew
     phone   with a country code, or North American groups      country code and punctuation kept
     ip      four numbers up to 255                             four numbers up to 255
     ssn     ddd-dd-dddd of an area that is assigned            digits permuted
@@ -44,6 +45,7 @@ PATTERNS = {
     "secret": r"(?i:(?<![a-z])(?:token|password|passwd|pwd|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
     r"(?=[A-Za-z+/_-]{0,127}[0-9])[0-9A-Za-z+/_-]{8,128}",
     "email": r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]{1,64}+@[0-9A-Za-z-]{1,63}(?:\.[0-9A-Za-z-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "iban": rf"{FREE}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,4}})?{END}",
     "ip": rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",
     "card": rf"{FREE}(?:[0-9]{{13,19}}+|[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{4}}){END}",
     "date": rf"{FREE}(?:[12][0-9]{{3}}-[0-9]{{2}}-[0-9]{{2}}|[12][0-9]{{3}}/[0-9]{{2}}/[0-9]{{2}}"
@@ -124,6 +126,26 @@ def _card(text: Column, key: str) -> Column:
     return F.when(luhn_sum(digits) % 10 == 0, in_format(text, "0-9", change)).otherwise(text)
 
 
+def remainder_97(text: Column) -> Column:
+    """Of the number that digits and capital letters, A as 10 to Z as 35, make."""
+    value = lambda c: F.ascii(c) - F.when(c <= "9", 48).otherwise(55)
+    step = lambda acc, c: (acc * F.when(c <= "9", 10).otherwise(100) + value(c)) % 97
+    return F.aggregate(F.array_remove(F.split(text, ""), ""), F.lit(0), step)
+
+
+def _iban(text: Column, key: str) -> Column:
+    bare = F.replace(text, F.lit(" "), F.lit(""))
+    country, account = F.substr(bare, F.lit(1), F.lit(2)), F.substr(bare, F.lit(5))
+
+    def checked(new: Column) -> Column:
+        digits = F.lpad((98 - remainder_97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+        return in_format(text, "0-9A-Z", lambda _: F.concat(country, digits, new))
+
+    new = in_format(account, "0-9", lambda d: permuted(d, DIGITS, "iban", key))
+    valid = remainder_97(F.concat(account, F.substr(bare, F.lit(1), F.lit(4)))) == 1
+    return F.when(valid, bind(new, checked)).otherwise(text)
+
+
 def _ip(text: Column, key: str) -> Column:
     """A network over the 32 bits, as eight hex digits."""
     as_hex = F.array_join(F.transform(F.split(text, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0")), "")
@@ -192,7 +214,7 @@ def kind_of(found: Column) -> Column:
 
 def pseudonym(found: Column, key: str = KEY) -> Column:
     """Another value of the same format for a match; the match itself where it isn't valid."""
-    changes = {"secret": _secret, "email": _email, "ip": _ip, "card": _card, "date": _date, "phone": _phone}
+    changes = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "card": _card, "date": _date, "phone": _phone}
     ssn = lambda t, k: in_format(t, "0-9", lambda d: permuted(d, DIGITS, "ssn", k))
 
     def by_kind(kind: Column) -> Column:

@@ -56,6 +56,15 @@ def test_pseudonyms_differ_and_depend_on_the_key(spark):
     assert len(set(dates.values())) == len(dates) and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", d) for d in dates.values())
 
 
+def test_bank_accounts(spark):
+    rows = run(spark, ["to DE89 3704 0044 0532 0130 00, GB82WEST12345698765432 and GB82 WEST 1234 5698 7654 32", "not DE88 3704 0044 0532 0130 00"])
+    found = re.findall(r"[A-Z]{2}\d\d[0-9A-Z ]+[0-9]", rows[0].text)
+    bare = [f.replace(" ", "") for f in found]
+    assert all(int("".join(str(int(c, 36)) for c in b[4:] + b[:4])) % 97 == 1 for b in bare)
+    assert bare[1] == bare[2] != "GB82WEST12345698765432" and bare[1][4:8] == "WEST" and re.fullmatch(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", found[0])
+    assert rows[0].n_replaced == 3 and "3704 0044" in rows[1].text
+
+
 def test_small_domains_are_permuted(spark):
     df = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("d"))
     assert df.select(pii.permuted(F.col("d"), pii.DIGITS, "t", "k").alias("p")).distinct().count() == 100

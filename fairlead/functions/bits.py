@@ -17,7 +17,7 @@ def armour_characters() -> str:
 
 
 def unarmoured(payload: Column) -> Column:
-    """Payload of armour characters to bits, six for each, by one translation of pairs of octal digits."""
+    """Payload of armour characters to bits, six for each."""
     value = lambda c: F.ascii(c) - 48 - F.when(F.ascii(c) >= 96, 8).otherwise(0)
     characters = F.array_remove(F.split(payload, ""), "")
     return F.array_join(F.transform(characters, lambda c: F.lpad(F.bin(value(c)), 6, "0")), "")

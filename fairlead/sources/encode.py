@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.functions import bits
+from fairlead.functions.stages import computed
 from fairlead.operators import nmea
 
 
@@ -35,8 +36,9 @@ def report_lines(fixes: DataFrame) -> DataFrame:
     """(seq, line): each fix as a tagged sentence, class A for even seq, class B for odd ones."""
     args = [F.col("mmsi"), F.col("sog"), F.col("cog"), F.col("lat"), F.col("lon"), F.col("t").cast("long") % 60]
     both = F.when(F.col("seq") % 2 == 0, position_bits(1, *args)).otherwise(position_bits(18, *args))
-    step = fixes.select("seq", "t", bits.armoured(both).alias("payload"))
-    line = nmea.sentence(F.col("payload"), F.lit(0), channel=F.when(F.col("seq") % 2 == 0, "A").otherwise("B"))
+    step = computed(computed(fixes, {"b": both}).select("seq", "t", "b"), {"payload": bits.armoured(F.col("b"))})
+    sent = nmea.sentence(F.col("payload"), F.lit(0), channel=F.when(F.col("seq") % 2 == 0, "A").otherwise("B"))
+    step, line = computed(step, {"sent": sent}), F.col("sent")
     time = F.col("t").cast("long").cast("string")
     return step.select("seq", nmea.with_tag(line, F.concat(F.lit("s:"), (F.col("seq") % 7).cast("string"), F.lit(",c:"), time)).alias("line"))
 
@@ -45,13 +47,11 @@ def voyage_lines(fixes: DataFrame) -> DataFrame:
     """(seq, line): a two-part voyage report for every vessel, with the first part missing for every tenth."""
     u = F.col("mmsi") - 219000000
     vessels = fixes.select("mmsi").distinct().select("mmsi", u.alias("u"))
-    payload = bits.armoured(
-        voyage_bits(
-            F.col("mmsi"), F.col("u") + 9000000, F.concat(F.lit("C"), F.col("u").cast("string")), F.concat(F.lit("VESSEL "), F.col("u").cast("string")),
-            F.col("u") % 10 + 70, F.col("u") % 400, F.col("u") % 200 + 1, F.concat(F.lit("PORT "), (F.col("u") % 50).cast("string")),
-        )
+    own = voyage_bits(
+        F.col("mmsi"), F.col("u") + 9000000, F.concat(F.lit("C"), F.col("u").cast("string")), F.concat(F.lit("VESSEL "), F.col("u").cast("string")),
+        F.col("u") % 10 + 70, F.col("u") % 400, F.col("u") % 200 + 1, F.concat(F.lit("PORT "), (F.col("u") % 50).cast("string")),
     )
-    parts = vessels.select("u", payload.alias("p")).withColumn("number", F.explode(F.array(F.lit(1), F.lit(2))))
+    parts = computed(computed(vessels, {"b": own}), {"p": bits.armoured(F.col("b"))}).select("u", "p").withColumn("number", F.explode(F.array(F.lit(1), F.lit(2))))
     piece = F.when(F.col("number") == 1, F.substr("p", F.lit(1), F.lit(60))).otherwise(F.substr("p", F.lit(61)))
     line = nmea.sentence(piece, F.when(F.col("number") == 1, 0).otherwise(2), count=2, number=F.col("number"), seq=F.col("u") % 10)
     source = F.concat(F.lit("s:"), F.floor(F.col("u") / 10).cast("string"))

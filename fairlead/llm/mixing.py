@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fairlead.llm.graph import durable
 from fairlead.llm.quality import words_of
 
 WEIGHTS = (3, 1, 2)
@@ -28,6 +29,8 @@ SEED = "mix-1"
 #: Targets together are SHARE_NUM / SHARE_DEN of all sizes, each at most MAX_EPOCHS times its source's.
 SHARE_NUM, SHARE_DEN, MAX_EPOCHS = 3, 2, 2
 GROUP = ["source_null", "source_key"]
+#: Cuts of up to so many sources, some 100 bytes each, are sent to every task; more are joined by a shuffle.
+MOST_SENT = 50_000
 
 
 def key_of(id_col: Column, seed: str = SEED) -> Column:
@@ -125,11 +128,14 @@ def mix(
 ) -> DataFrame:
     """The mix as whole documents with all their columns, repeated ones in as many rows.
 
-    Texts aren't shuffled for it: a source's cut is one key, which its rows are compared with.
+    A source's cut is one key, which its rows are compared with, so texts aren't shuffled while the cuts are few
+    enough to be sent; their number is counted first.
     """
-    cut = cuts(docs, id_col, text_col, source_col, seed)
+    cut = durable(cuts(docs, id_col, text_col, source_col, seed))
+    if cut.count() <= MOST_SENT:
+        cut = F.broadcast(cut)
     names = {c: unused(docs, f"mix_{c}") for c in cut.columns}
-    cut = cut.select(*(F.col(c).alias(n) for c, n in names.items()))
+    cut = cut.withColumnsRenamed(names)
     source = docs[source_col]
     same = (source.isNull() == F.col(names["source_null"])) & (F.coalesce(source, F.lit("")) == F.col(names["source_key"]))
     more = F.coalesce(key_of(docs[id_col], seed) <= F.col(names["last_key"]), F.lit(False)).cast("int")

@@ -219,7 +219,8 @@ def groups(
     rooted = entries.join(roots, F.col("node") == F.col("at"), "left").select(
         "node", F.coalesce("root", "node").alias("root"), "least"
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # kept before it is joined with: a join right above an aggregation isn't split where a component is large
+    least = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_node = rooted.select("node", "root").join(least, "root").drop("root")
     return prints.join(by_node, "node").select("id", *scheme.words, "component_id")
 

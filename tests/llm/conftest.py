@@ -1,15 +1,12 @@
 import random
 
 import pytest
+from llm_cases import words
 from pyspark.sql import functions as F
 
 CLASH = ("id", "raw", "rid", "fp", "node", "key", "size", "part", "found", "spans", "n_words", "gram", "copies", "mix_epochs", "kept_id")
 
 
-def words(rng, n):
-    return " ".join(rng.choice(("the", "of", "sea", "ship", "harbour", "tide", "and", "anchor", "le", "der", "que")) + str(rng.randrange(400)) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Documents with nulls, empty and long texts, repeats, and columns whose names the operators use inside."""
@@ -29,6 +26,3 @@ def awkward(spark):
 def none(awkward):
     return awkward.filter("false")
 
-
-def plain(df):
-    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import plain
+from llm_cases import plain
 
 from fairlead.llm import jpeg, media
 

@@ -1,6 +1,6 @@
 from collections import Counter, defaultdict
 
-from conftest import plain
+from llm_cases import plain
 
 from fairlead.llm import mixing
 

@@ -1,6 +1,6 @@
 import re
 
-from conftest import plain
+from llm_cases import plain
 from pyspark.sql import functions as F
 
 from fairlead.llm import pii

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from conftest import plain, words
+from llm_cases import plain, words
 
 from fairlead.llm import mixing, packing, quality, simhash
 

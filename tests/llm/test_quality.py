@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest import plain
+from llm_cases import plain
 
 from fairlead.llm import quality
 

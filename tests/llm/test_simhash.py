@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
-from conftest import plain, words
+from llm_cases import plain, words
 
 from fairlead.llm import graph, simhash
 

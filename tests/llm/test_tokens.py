@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import plain
+from llm_cases import plain
 from tokenizers import Tokenizer
 
 from fairlead.llm import packing, token_count

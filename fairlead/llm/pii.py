@@ -15,8 +15,8 @@ different ones, and who holds the key can invert them.
     email   local part                                         letters and digits permuted, domain kept
     secret  value with a digit, after a word like token=       its alphabet kept
 
-What isn't valid (a card number whose check digit is wrong, 30 February) is left alone. A text without a digit is
-passed on after one scan. All of it is one projection: no shuffle, no user function.
+What isn't valid (a card number whose check digit is wrong, 30 February) is left alone. A text without a digit
+or an @, one of which every kind needs, is passed on after one scan. All of it is one projection: no shuffle, no user function.
 
 Defined results: a null text stays null, an empty one empty; every row is replaced for itself, repeated rows alike; an
 empty table gives an empty result; other columns are passed on.
@@ -228,7 +228,7 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
 
 def replaced(text: Column, key: str = KEY) -> Column:
     """Struct (text, found, changed): the text with pseudonyms, the matches, and what each became."""
-    matches = F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     def joined(parts: Column) -> Column:
         whole = F.zip_with(parts["gaps"], parts["new"], lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))

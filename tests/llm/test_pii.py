@@ -65,6 +65,13 @@ def test_bank_accounts(spark):
     assert rows[0].n_replaced == 3 and "3704 0044" in rows[1].text
 
 
+def test_addresses_in_texts_without_digits(spark):
+    rows = run(spark, ["write to jane.doe@example.org", "write to jane.doe@example.org in 1984", "a @ b", "_@example.org"])
+    found = [re.search(r"\S+@example\.org", rows[k].text)[0] for k in (0, 1)]
+    assert found[0] == found[1] != "jane.doe@example.org" and rows[0].kinds == "email" and rows[0].n_replaced == 1
+    assert rows[2].text == "a @ b" and rows[3].text == "_@example.org"
+
+
 def test_small_domains_are_permuted(spark):
     df = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("d"))
     assert df.select(pii.permuted(F.col("d"), pii.DIGITS, "t", "k").alias("p")).distinct().count() == 100

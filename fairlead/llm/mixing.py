@@ -10,7 +10,8 @@ many tasks; the prefix sum within a range is a window, the offsets of ranges are
 range, and only ids, keys and sizes are ever shuffled. The table of sources (one row each) is ranked in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own; a null id takes part with an empty key;
-rows with the same id and size are interchangeable, so the rows as a whole are defined though not which copy is cut;
+rows are in order of key, id, size and a hash of the text, and those equal in all four are interchangeable, so the rows
+as a whole are defined though not which copy is cut; `mix` takes exactly as many of them as the plan;
 a source of size 0 has target 0; an empty table gives an empty result; other columns are carried by `mix` and not read.
 """
 
@@ -29,6 +30,8 @@ SEED = "mix-1"
 #: Targets together are SHARE_NUM / SHARE_DEN of all sizes, each at most MAX_EPOCHS times its source's.
 SHARE_NUM, SHARE_DEN, MAX_EPOCHS = 3, 2, 2
 GROUP = ["source_null", "source_key"]
+#: The order of a source's rows; rows equal in all of it are copies.
+ORDER = ["key", "id", "size", "hash"]
 #: Cuts of up to so many sources, some 100 bytes each, are sent to every task; more are joined by a shuffle.
 MOST_SENT = 50_000
 
@@ -39,13 +42,14 @@ def key_of(id_col: Column, seed: str = SEED) -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    """(id, source_null, source_key, key, part, size), dealt by source and range of keys."""
+    """(id, source_null, source_key, key, part, size, hash), dealt by source and range of keys."""
     skinny = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).isNull().alias("source_null"),
         F.coalesce(F.col(source_col), F.lit("")).alias("source_key"),
         key_of(F.col(id_col), seed).alias("key"),
         F.size(words_of(F.col(text_col))).cast("long").alias("size"),
+        F.xxhash64(text_col).alias("hash"),
     )
     digits = len(f"{RANGES:x}") - 1
     return skinny.withColumn("part", F.substring("key", 1, digits)).repartition(*GROUP, "part")
@@ -75,7 +79,7 @@ def targets(per_range: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFra
 
 def sums(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with their range's running sum `upto`, one row per range with the words before it in its source)."""
-    in_range = Window.partitionBy(*GROUP, "part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    in_range = Window.partitionBy(*GROUP, "part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     per_range = rows.groupBy(*GROUP, "part").agg(F.sum("size").alias("size"))
     earlier = Window.partitionBy(*GROUP).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.withColumn("offset", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
@@ -85,7 +89,7 @@ def sums(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED
 ) -> DataFrame:
-    """(id, source_null, source_key, key, size, source_size, target, taken, epochs, more) for every row.
+    """(id, source_null, source_key, key, size, hash, source_size, target, taken, epochs, more) for every row.
 
     A source's words taken are its target's whole words exactly: every document once for each whole epoch, and once
     more in the random order until the rest is used up, where the last document is taken in part.
@@ -100,7 +104,7 @@ def plan(
     part = F.least(F.greatest(rest - start, F.lit(0)), F.col("size"))
     more = (part > 0) & (2 * part >= F.col("size"))
     return summed.join(ranges, [*GROUP, "part"]).select(
-        "id", *GROUP, "key", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"),
+        "id", *GROUP, "key", "size", "hash", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"),
         whole.cast("int").alias("epochs"), more.alias("more"),
     )
 
@@ -108,12 +112,29 @@ def plan(
 def cuts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED
 ) -> DataFrame:
-    """(source_null, source_key, epochs, last_key) for each source: a document is taken `epochs` times, and once more
-    if its key is at most last_key (null: none). The document that the cut goes through is taken if half of it fits."""
+    """(source_null, source_key, epochs, last, some, copies) for each source: a document is taken `epochs` times, and
+    once more if its place (key, id, size, hash) is before `last` (null: none); of the `copies` rows at `last`, `some`
+    are. The document that the cut goes through is taken if half of it fits."""
     planned = plan(docs, id_col, text_col, source_col, seed)
-    return planned.groupBy(*GROUP).agg(
-        F.max("epochs").alias("epochs"), F.max(F.when(F.col("more"), F.col("key"))).alias("last_key")
+    places = planned.groupBy(*GROUP, *ORDER).agg(
+        F.max("epochs").alias("epochs"), F.sum(F.col("more").cast("long")).alias("some"), F.count("*").alias("copies")
     )
+    last = F.max(F.when(F.col("some") > 0, F.struct(F.struct(*ORDER).alias("place"), "some", "copies")))
+    found = places.groupBy(*GROUP).agg(F.max("epochs").alias("epochs"), last.alias("last"))
+    return found.select(*GROUP, "epochs", F.col("last.place").alias("last"), "last.some", "last.copies")
+
+
+def some_of(rows: DataFrame, groups: list[str], some: str) -> DataFrame:
+    """`some` of the rows of each group; rows are numbered durably, and counted by the tasks that numbered them."""
+    number, deal, n, before = (unused(rows, f"mix_{c}") for c in ("number", "deal", "n", "before"))
+    numbered = durable(rows.withColumn(number, F.monotonically_increasing_id()))
+    numbered = numbered.withColumn(deal, F.shiftright(number, 33))
+    earlier = Window.partitionBy(*groups).orderBy(deal).rowsBetween(Window.unboundedPreceding, -1)
+    counts = numbered.groupBy(*groups, deal).agg(F.count("*").alias(n))
+    counts = durable(counts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n))
+    rank = F.row_number().over(Window.partitionBy(*groups, deal).orderBy(number))
+    ranked = numbered.withColumn(n, rank).join(counts, [*groups, deal])
+    return ranked.filter(F.col(n) + F.col(before) <= F.col(some)).select(*rows.columns)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -128,20 +149,31 @@ def mix(
 ) -> DataFrame:
     """The mix as whole documents with all their columns, repeated ones in as many rows.
 
-    A source's cut is one key, which its rows are compared with, so texts aren't shuffled while the cuts are few
-    enough to be sent; their number is counted first.
+    A source's cut is one place in its order, which its rows are compared with, so texts aren't shuffled while the cuts
+    are few enough to be sent; their number is counted first. Only where a cut falls among copies they are numbered.
     """
     cut = durable(cuts(docs, id_col, text_col, source_col, seed))
+    among = cut.filter("some < copies").count()
     if cut.count() <= MOST_SENT:
         cut = F.broadcast(cut)
     names = {c: unused(docs, f"mix_{c}") for c in cut.columns}
     cut = cut.withColumnsRenamed(names)
     source = docs[source_col]
     same = (source.isNull() == F.col(names["source_null"])) & (F.coalesce(source, F.lit("")) == F.col(names["source_key"]))
-    more = F.coalesce(key_of(docs[id_col], seed) <= F.col(names["last_key"]), F.lit(False)).cast("int")
+    size = F.size(words_of(docs[text_col])).cast("long")
+    place = F.struct(key_of(docs[id_col], seed).alias("key"), docs[id_col].alias("id"), size.alias("size"), F.xxhash64(docs[text_col]).alias("hash"))
+    last = F.col(names["last"])
+    split = (F.col(names["some"]) < F.col(names["copies"])) & (place == last)
+    more = F.coalesce((size > 0) & (place <= last) & ~split, F.lit(False)).cast("int")
     copy = unused(docs, "mix_copy")
-    found = docs.join(cut, same).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(names["epochs"]) + more)))
-    return found.select(*(docs[c] for c in docs.columns))
+    joined = docs.join(cut, same)
+    found = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(names["epochs"]) + more)))
+    found = found.select(*(docs[c] for c in docs.columns))
+    if not among:
+        return found
+    tied = joined.filter(split).select(*(docs[c] for c in docs.columns), *(F.col(names[c]) for c in (*GROUP, "some")))
+    taken = some_of(tied, [names[c] for c in GROUP], names["some"])
+    return found.unionByName(taken.select(*docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,21 @@ def test_mix_returns_whole_documents_near_the_targets(spark, awkward, none):
     aims = {r.source_key: r.target for r in mixing.plan(many).select("source_key", "target").distinct().collect()}
     assert all(abs(words[s] - aims[s]) <= 50 for s in aims)
     assert mixing.mix(none).count() == 0 and mixing.plan(none).count() == 0
+
+
+def test_mix_is_the_plan_for_null_and_repeated_ids(spark):
+    texts = ["w " * (1 + k % 7) + f"t{k % 11}" for k in range(600)]
+    ids = [None if k % 3 == 0 else k % 5 if k % 3 == 1 else k for k in range(600)]
+    rows = [(i, t, ("a", "b", "c")[k % 2 if k < 400 else 2], k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows += [(None, "same text here", "d", 1000 + k) for k in range(90)] + [(5, "same text here", "e", 2000 + k) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long").repartition(6)
+    planned = Counter()
+    for r in mixing.plan(df).collect():
+        planned[r.source_key, r.id, r.size] += r.epochs + r.more
+    mixed = mixing.mix(df).collect()
+    assert Counter((r.source, r.doc_id, len(r.text.split())) for r in mixed) == +planned
+    often = Counter(r.row for r in mixed)
+    for source in "abcde":  # a row is taken the whole epochs, or once more
+        times = {often[r[3]] for r in rows if r[2] == source}
+        assert max(times) - min(times) <= 1
+    assert any(len({often[r[3]] for r in rows if r[2] == s}) == 2 for s in "de")  # a cut among copies

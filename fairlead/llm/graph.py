@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairlead.functions.stages import durable
 
-def durable(df: DataFrame) -> DataFrame:
-    """The frame written to the cluster's checkpoint folder and read from there, so that lost executors don't matter.
-
-    The folder is the session's spark.checkpoint.dir. Where none is set, a local session, as in tests, gets a temporary
-    one; a cluster has to name a folder that its machines share.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp())
-    return df.checkpoint()
+__all__ = ["components", "durable"]
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -1,29 +1,31 @@
 """Exact substring deduplication by bucket-pointer refinement.
 
 A byte goes if it is covered by a string of `LENGTH` bytes that also starts anywhere else, in the same text or another.
-Suffixes are put into buckets by their first q bytes and the buckets refined by sorting on the bucket identifiers of
-later offsets, where refined identifiers are used again: q, 2q, 4q bytes deep, until LENGTH.
+Suffixes are put into buckets by their first q = 8 bytes, as they are, and the buckets refined by sorting on the bucket
+identifiers of later offsets, where refined identifiers are used again: 8, 16, 32, 64, 128 bytes deep, then LENGTH.
 
 Sorting every suffix of a large corpus isn't affordable, so the work is narrowed first, without loss:
 
-1. Each window of LENGTH bytes points to the least 64-byte gram in it, its anchor. Equal windows have equal anchors,
+1. Rows are numbered and kept with their texts, once; all later steps read those numbers.
+2. Each window of LENGTH bytes points to the least 64-byte gram in it, its anchor. Equal windows have equal anchors,
    and an anchor serves a stretch of about 70 windows. Only (gram, stretch, place) leaves the scan, some 30 bytes for
-   70 of text.
-2. Grams that occur once end here, by a pre-aggregated count and a semi join.
-3. Stretches that occur twice as a whole are duplicated as a whole: again a count and a semi join.
-4. What remains are the ends of duplicated passages: grams with different stretches around them. One of each different
+   70 of text, and is kept, so texts are scanned for anchors once.
+3. Grams that occur once end here, by a pre-aggregated count and a semi join.
+4. Stretches that occur twice as a whole are duplicated as a whole: again a count and a semi join.
+5. What remains are the ends of duplicated passages: grams with different stretches around them. One of each different
    stretch is fetched, those of a gram meet, and bucket-pointer refinement finds the windows that are equal.
    A gram with more than `HOT` different stretches is refined in the open: its windows' identifiers at full depth are
    counted by a pre-aggregated group-by, so no task ever holds more than HOT stretches of a gram.
 
 Skewed keys only meet counts, which are aggregated before the shuffle, and joins whose large partitions adaptive
-execution splits. Texts are dealt once by row, for the fetching and for the result. Grams and stretches are told apart
-by 64-bit polynomial hashes.
-
-Defined results: a null or empty text has 0 bytes, nothing removed and the hash of no bytes; equal texts of LENGTH
-bytes or more are removed from each other wholly; rows are numbered by partition and place, so null or repeated ids
-are rows of their own; an empty table gives an empty result; other
-columns are not read.
+execution splits. Stretches and windows of hot grams are told apart, within a gram, by XXH3 of 64 bits over their
+bytes; what grams are is only where to look, so two that share a hash just meet.
+
+Defined results: a null or empty text has 0 bytes, nothing removed and the hash of no bytes; texts shorter than LENGTH
+are kept whole; equal texts of LENGTH bytes or more are removed from each other wholly, and so are rows that repeat; rows
+are numbered by place, so null or repeated ids are rows of their own; ties between grams fall to the first; a very long
+text is hashed in parts of `CHUNK` bytes, and held once, beside its spans merged to maximal runs, by the task that cuts
+it; an empty table gives an empty result; other columns are not read, so their names may clash with ours.
 """
 
 from __future__ import annotations
@@ -39,11 +41,12 @@ from pyspark.sql import functions as F
 from fairlead.llm.graph import durable
 
 LENGTH, GRAM = 200, 64
+#: Bytes of a suffix that its first bucket is named by.
+Q = 8
 #: Different stretches of a gram that one task refines.
 HOT = 20_000
 #: Bytes that are hashed, or refined, together.
 CHUNK = 2_000_000
-NUMBERED = ["rid", "doc_id", "raw"]
 
 
 class Rolling:
@@ -66,9 +69,6 @@ class Rolling:
         np.cumsum(self.byte[data] * self.up[:n], dtype=np.uint64, out=total[1:])
         return total
 
-    def between(self, total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
-
     def grams(self, total: np.ndarray, n: int) -> np.ndarray:
         """Of all substrings of n bytes, by start."""
         return mixed((total[n:] - total[:-n]) * self.down[: len(total) - n])
@@ -107,12 +107,14 @@ def chunks(rows: Iterator[tuple[int, bytes]], length: int, most: int = CHUNK) ->
 
 
 def stretches(parts: list[tuple[int, int, bytes]], rolling: Rolling, length: int, gram: int) -> list[np.ndarray]:
-    """Columns (gram, stretch, rid, place): hashes of an anchor and of the bytes of its windows, the text, and
-    where: first window << 9 | number of windows - 1."""
+    """Columns (gram, stretch, rid, place): hashes of an anchor and of the bytes of its windows with the anchor's place
+    in them, the text, and where: first window << 9 | number of windows - 1."""
+    import xxhash
+
     sizes = np.array([len(p) for _, _, p in parts])
     ends = np.cumsum(sizes)
-    total = rolling.prefix(np.frombuffer(b"".join(p for _, _, p in parts), np.uint8))
-    grams = rolling.grams(total, gram)
+    data = b"".join(p for _, _, p in parts)
+    grams = rolling.grams(rolling.prefix(np.frombuffer(data, np.uint8)), gram)
     bits = np.uint64(int(len(grams)).bit_length())
     order = grams >> bits << bits | np.arange(len(grams), dtype=np.uint64)
     anchor = (sliding_least(order, length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -128,28 +130,35 @@ def stretches(parts: list[tuple[int, int, bytes]], rolling: Rolling, length: int
     last = np.flatnonzero(stop)
     at = np.searchsorted(ends, first, side="right")
     offset = first - (ends - sizes)[at] + np.array([o for _, o, _ in parts])[at]
-    stretch = rolling.between(total, first, last + length) ^ (anchor[first] - first).astype(np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    stretch = np.fromiter(
+        (digest(data[a:b], k) for a, b, k in zip(first.tolist(), (last + length).tolist(), (anchor[first] - first).tolist(), strict=True)),
+        np.uint64, len(first),
+    )
     rids = np.array([r for r, _, _ in parts], np.int64)[at]
     return [grams[anchor[first]].view(np.int64), stretch.view(np.int64), rids, offset << 9 | (last - first)]
 
 
-def equal_windows(segments: list[bytes], rolling: Rolling, length: int) -> np.ndarray:
+def equal_windows(segments: list[bytes], length: int) -> np.ndarray:
     """Mask over the bytes of the segments laid end to end: where a window starts that starts elsewhere too.
 
     Bucket-pointer refinement: bucket[i] tells apart strings of `depth` bytes from i on; sorting those of shared
-    buckets by (bucket[i], bucket[i + depth]) makes it 2 * depth.
+    buckets by (bucket[i], bucket[i + step]) makes it depth + step. Nothing is hashed.
     """
     sizes = np.array([len(s) for s in segments])
     end = np.repeat(np.cumsum(sizes), sizes)
-    n, depth = len(end), max(1, length // 4)
-    total = rolling.prefix(np.frombuffer(b"".join(segments), np.uint8))
+    n, depth = len(end), min(Q, length)
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    first = np.zeros(n, np.uint64)
+    for k in range(depth):
+        first[: n - k] = first[: n - k] << np.uint64(8) | data[k:]
     live = np.flatnonzero(np.arange(n) + depth <= end)
     bucket = np.full(n, -1, np.int64)
-    live, bucket[live] = _refined(live, rolling.grams(total, depth)[live])
+    live, bucket[live] = _refined(live, first[live])
     while depth < length and len(live):
         step = min(depth, length - depth)
-        live = live[(live + depth + step <= end[live])]
-        live = live[(bucket[live] >= 0) & (bucket[np.minimum(live + step, n - 1)] >= 0)]
+        live = live[live + depth + step <= end[live]]
+        live = live[bucket[live + step] >= 0]
         after = np.full(n, -1, np.int64)
         live, after[live] = _refined(live, bucket[live] * n + bucket[live + step])
         bucket, depth = after, depth + step
@@ -175,9 +184,10 @@ def _arrow(columns: list, names: list[str]) -> pa.RecordBatch:
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, raw): every row with a number of its own."""
+    """(rid, doc_id, raw): every row with a number of its own, kept, so that however often and in whatever parts the
+    rows are read again, a number means the same row."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), raw)
+    return durable(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), raw))
 
 
 def anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -201,11 +211,9 @@ def _more(place: Column) -> Column:
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows that stretches are wanted of, with `wanted`, an array of struct. All their columns are kept, here and
-    wherever rows are read, so that every branch deals out the same frame: it is shuffled once, and an input that isn't
-    a table can't be numbered in two ways."""
+    """The rows that stretches are wanted of, with `wanted`, an array of struct; it is shorter than the text."""
     per_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("gram", "place", "n")).alias("wanted"))
-    return rows.join(per_text, "rid")
+    return rows.select("rid", "raw").join(per_text, "rid")
 
 
 def _ends(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
@@ -224,19 +232,19 @@ def _ends(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
             yield _arrow([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "rid", "at", "open", "segment"])
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, held, size = Rolling(), [], 0
+        held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= CHUNK and held[-1][0] != row[0]:
-                    yield spans(held, rolling)
+                    yield spans(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[4])
         if held:
-            yield spans(held, rolling)
+            yield spans(held)
 
-    def spans(held: list[tuple], rolling: Rolling) -> pa.RecordBatch:
-        hit = equal_windows([r[4] for r in held], rolling, length)
+    def spans(held: list[tuple]) -> pa.RecordBatch:
+        hit = equal_windows([r[4] for r in held], length)
         sizes = np.array([len(r[4]) for r in held])
         hit &= np.repeat([r[3] for r in held], sizes)
         begin = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]))
@@ -255,19 +263,19 @@ def _hot_ends(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     """The same for grams shared by many: every window by its identifier at full depth."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling()
+        from xxhash import xxh3_64_intdigest as digest
+
         for batch in batches:
             for rid, raw, wanted in zip(batch["rid"], batch["raw"], batch["wanted"], strict=True):
+                raw = raw.as_py()
                 for w in wanted.as_py():
-                    at, more = w["place"] >> 9, w["place"] & 511
-                    data = np.frombuffer(raw.as_py()[at : at + more + length], np.uint8)
-                    ids = rolling.grams(rolling.prefix(data), length).view(np.int64)
-                    n = len(ids)
+                    at, n = w["place"] >> 9, (w["place"] & 511) + 1
+                    ids = np.fromiter((digest(raw[k : k + length]) for k in range(at, at + n)), np.uint64, n).view(np.int64)
                     columns = [np.full(n, w["gram"]), ids, np.full(n, rid.as_py()), at + np.arange(n), np.full(n, w["n"] == 1)]
                     yield _arrow(columns, ["gram", "window", "rid", "start", "open"])
 
     schema = "gram long, window long, rid long, start long, open boolean"
-    found = _fetch(rows, reps).mapInArrow(windows, schema)
+    found = durable(_fetch(rows, reps).mapInArrow(windows, schema))
     twice = found.groupBy("gram", "window").count().filter("count > 1")
     return found.filter("open").join(twice, ["gram", "window"], "left_semi").select("rid", "start", (F.col("start") + length).alias("stop"))
 
@@ -275,7 +283,7 @@ def _hot_ends(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 def duplicated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(rid, start, stop) of stretches to remove, which may overlap, from (rid, raw)."""
     # counts are kept before they are joined with: a join right above an aggregation isn't split where a key is skewed
-    every = anchors(rows, length, gram)
+    every = durable(anchors(rows, length, gram))
     shared = durable(every.groupBy("gram").count().filter("count > 1").select("gram"))
     placed = durable(every.join(shared, "gram", "left_semi"))
     kinds = durable(placed.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("rep")))
@@ -290,13 +298,39 @@ def duplicated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
     return whole.unionByName(_ends(rows, few, length)).unionByName(_hot_ends(rows, many, length))
 
 
+def maximal(found: DataFrame) -> DataFrame:
+    """(rid, start, stop) of maximal runs, disjoint and apart from each other."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64),) * 3
+        for batch in batches:
+            columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rid, start, stop = (np.concatenate([h, c]) for h, c in zip(held, columns, strict=True))
+            if not len(rid):
+                continue
+            new = np.concatenate([[True], rid[1:] != rid[:-1]])
+            # the greatest stop so far within a row: stops of later rows are lifted above those of earlier ones
+            lift = np.cumsum(new) * (int(stop.max()) + 1)
+            upto = np.maximum.accumulate(stop + lift) - lift
+            first = np.flatnonzero(new | np.concatenate([[True], start[1:] > upto[:-1]]))
+            last = np.append(first[1:], len(rid)) - 1
+            rid, start, stop = rid[first], start[first], upto[last]
+            yield _arrow([rid[:-1], start[:-1], stop[:-1]], ["rid", "start", "stop"])  # the last run may go on
+            held = rid[-1:], start[-1:], stop[-1:]
+        if len(held[0]):
+            yield _arrow(list(held), ["rid", "start", "stop"])
+
+    return found.repartition("rid").sortWithinPartitions("rid", "start").mapInArrow(merge, "rid long, start long, stop long")
+
+
 def cleaned(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text",
     with_rest: bool = False,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; with_rest adds `kept`, the remaining bytes."""
     rows = numbered(docs, id_col, text_col)
-    found = duplicated(rows, length, gram, hot).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    runs = maximal(duplicated(rows, length, gram, hot))
+    found = runs.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_rest
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter
+from itertools import cycle
 
 import numpy as np
 import pytest
@@ -60,12 +61,64 @@ def test_refinement_finds_equal_windows():
     rng = random.Random(5)
     segments = [bytes(rng.choices(b"ab", k=300)) for _ in range(6)]
     segments += [segments[0][20:260] + b"x" * 40, b"a" * 230, segments[3][:210]]
-    hit = s.equal_windows(segments, s.Rolling(), 200)
+    hit = s.equal_windows(segments, 200)
     seen = Counter(t[i : i + 200] for t in segments for i in range(len(t) - 199))
     expected = [i + 200 <= len(t) and seen[t[i : i + 200]] > 1 for t in segments for i in range(len(t))]
     assert hit.tolist() == expected
 
 
+def test_numbers_hold_when_the_input_is_split_otherwise_later(spark, tmp_path, monkeypatch):
+    docs = corpus(9)
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/docs")
+    expected = brute([d.encode() for d in docs])
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    real, sizes = s.durable, cycle(((4096, 1, 3), (10**8, 10**7, 5), (900, 100, 2), (10**6, 10**6, 7)))
+
+    def keeps_and_changes(df):
+        kept = real(df)
+        for n, v in zip(names, next(sizes), strict=True):
+            spark.conf.set(n, str(v))
+        return kept
+
+    monkeypatch.setattr(s, "durable", keeps_and_changes)
+    try:
+        stored = spark.read.parquet(f"{tmp_path}/docs")
+        for df in (stored, stored.repartition(5), stored.orderBy(stored.text)):
+            found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.cleaned(df, hot=3).collect()}
+            assert [found[k] for k in range(len(docs))] == expected
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_strings_that_collide_under_polynomials(spark):
+    pair = []
+    for a, b in ("ab", "ba"):
+        word = a
+        while len(word) < 4096:
+            word += word.translate(str.maketrans("ab", "ba"))
+        pair.append(word)
+    docs = [pair[0], pair[1], pair[0][:900] + "x", "y" + pair[1][:900]]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for hot in (s.HOT, 1):
+        found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.cleaned(df, hot=hot).collect()}
+        assert [found[k] for k in range(len(docs))] == brute([d.encode() for d in docs])
+
+
+def test_runs_are_merged_over_batches(spark):
+    rng = random.Random(6)
+    spans = [(rng.randrange(3), a, a + rng.randrange(1, 40)) for a in (rng.randrange(400) for _ in range(60))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = sorted(map(tuple, s.maximal(spark.createDataFrame(spans, "rid long, start long, stop long")).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    covered = {r: {x for q, a, b in spans if q == r for x in range(a, b)} for r in range(3)}
+    expected = [(r, a, next(b for b in range(a, 999) if b not in covered[r])) for r in range(3) for a in sorted(covered[r]) if a - 1 not in covered[r]]
+    assert found == expected
+
+
 def test_awkward_rows(awkward, none):
     rows = s.cleaned(awkward, with_rest=True).collect()
     assert len(rows) == awkward.count()

@@ -2,7 +2,11 @@
 
 A batch of texts is one array of code points. Pre-token starts follow from the classes of neighbouring characters,
 which is what the tokenizer's pattern says of letters, numbers, white space, the rest and English contractions.
-Pre-tokens are told apart by a 64-bit hash, so each different one is merged once per worker and then looked up.
+Each different pre-token is merged once per worker and then looked up by its text. Within a batch, equal ones are found
+by a 64-bit hash and then compared, code point by code point, so that a collision costs time and nothing else.
+
+A text of more than `LONG` characters is taken in parts that end before white space which begins a pre-token, so what
+is held beside the text and its ids is bounded, unless a text has no such place.
 
 Different pre-tokens are merged together, held as one ragged array of symbols. In each turn every sequence applies its
 own lowest-ranked pair wherever it occurs, until no sequence has a pair that the table knows. A merged symbol's pairs
@@ -14,6 +18,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +26,13 @@ import numpy as np
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The characters that the pattern's `\\s` stands for.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_WHITE = frozenset(WHITE)
 #: The contractions that are pre-tokens of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Different pre-tokens that a worker remembers; beyond that it starts anew.
 REMEMBERED = 500_000
+#: Characters of a text, or of several, that are encoded together.
+LONG = 4_000_000
 
 
 @lru_cache(maxsize=1)
@@ -59,6 +67,21 @@ def starts_of(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     return starts
 
 
+def parts_of(text: str, most: int = LONG) -> list[str]:
+    """The text cut where its tokens don't depend on what is on the other side: before a plain space after anything
+    but white space, the first such place that lies `most` characters or more after the last."""
+    found, start = [], 0
+    while len(text) - start > most:
+        at = text.find(" ", start + most)
+        while at > 0 and ord(text[at - 1]) in _WHITE:
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        found.append(text[start:at])
+        start = at
+    return [*found, text[start:]]
+
+
 def _contractions(points: np.ndarray, kind: np.ndarray, starts: np.ndarray, text_starts: np.ndarray) -> None:
     at = np.flatnonzero((points == 0x27) & starts)
     if not len(at):
@@ -184,8 +207,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """number: hash of a pre-token -> its place in starts; ids[starts[i]:starts[i + 1]] are its tokens."""
-        self.number: dict[int, int] = {}
+        """number: a pre-token -> its place in starts; ids[starts[i]:starts[i + 1]] are its tokens."""
+        self.number: dict[str, int] = {}
         self.lengths = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
         self.ids = np.zeros(1 << 16, np.int64)
@@ -203,22 +226,36 @@ class Encoder:
         total = np.concatenate([[np.uint64(0)], np.cumsum(mixed * self.powers[:n], dtype=np.uint64)])
         return (total[end] - total[first]) * self.inverses[first] + (end - first).astype(np.uint64)
 
+    def _kinds(self, text: str, points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One pre-token of each kind, and the kind of every one; of a kind are those that are equal."""
+        _, at, which = np.unique(self._hashes(points, first, end), return_index=True, return_inverse=True)
+        length, like = end - first, at[which]
+        shift = np.repeat(first[like] - first, length)
+        differs = points[np.minimum(np.arange(len(points)) + shift, len(points) - 1)] != points
+        wrong = np.flatnonzero(np.logical_or.reduceat(differs, first) | (length != length[like]))
+        if len(wrong):
+            others: dict[str, int] = {}
+            for k in wrong.tolist():
+                which[k] = others.setdefault(text[first[k] : end[k]], len(at) + len(others))
+            at = np.append(at, wrong[np.unique(which[wrong], return_index=True)[1]])
+        return at, which
+
     def _places(self, text: str, points: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For each pre-token its place in the memory, where new ones are put."""
-        hashes, at, which = np.unique(self._hashes(points, first, end), return_index=True, return_inverse=True)
-        if len(self.number) + len(hashes) > self.remembered:
+        at, which = self._kinds(text, points, first, end)
+        if len(self.number) + len(at) > self.remembered:
             self._forget()
-        get, keys = self.number.get, hashes.tolist()
-        places = np.fromiter((get(h, -1) for h in keys), np.int64, len(keys))
-        new = np.flatnonzero(places < 0)
-        if len(new):
-            b, e = first[at[new]].tolist(), end[at[new]].tolist()
-            raws = [text[i:j].encode() for i, j in zip(b, e, strict=True)]
+        words = [text[i:j] for i, j in zip(first[at].tolist(), end[at].tolist(), strict=True)]
+        get = self.number.get
+        places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(places < 0).tolist()
+        if new:
+            raws = [words[i].encode() for i in new]
             sizes = np.fromiter(map(len, raws), np.int64, len(raws))
             ids, lengths = self.vocabulary.merge(np.frombuffer(b"".join(raws), np.uint8), sizes)
             k = len(self.number)
             places[new] = np.arange(k, k + len(new))
-            self.number.update(zip(hashes[new].tolist(), range(k, k + len(new)), strict=True))
+            self.number.update((words[i], k + j) for j, i in enumerate(new))
             self._keep(k, ids, lengths)
         return places[which]
 
@@ -268,20 +305,48 @@ class Encoder:
         piece = full[np.searchsorted(bounds[full], first, side="right") - 1]
         return places, piece, owner, special
 
+    def _groups(self, texts: list[str]) -> Iterator[tuple[list[str], list[int], list[bool]]]:
+        """Parts of about LONG characters together, the text each is of, and whether it is that text's last."""
+        parts, owner, final, size = [], [], [], 0
+        for k, text in enumerate(texts):
+            own = parts_of(text)
+            for i, part in enumerate(own):
+                parts.append(part)
+                owner.append(k)
+                final.append(i == len(own) - 1)
+                size += len(part)
+                if size >= LONG:
+                    yield parts, owner, final
+                    parts, owner, final, size = [], [], [], 0
+        if parts:
+            yield parts, owner, final
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text."""
-        places, piece, owner, special = self._tokens(texts)
-        counts = np.bincount(owner[piece], weights=self.lengths[places], minlength=len(texts)).astype(np.int64)
-        return counts + np.bincount(owner[special >= 0], minlength=len(texts))
+        counts = np.zeros(len(texts), np.int64)
+        for parts, text_of, _ in self._groups(texts):
+            places, piece, owner, special = self._tokens(parts)
+            each = np.bincount(owner[piece], weights=self.lengths[places], minlength=len(parts)).astype(np.int64)
+            each += np.bincount(owner[special >= 0], minlength=len(parts))
+            np.add.at(counts, text_of, each)
+        return counts
 
     def encode(self, texts: list[str], last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids laid end to end and their number per text; `last`, if given, is put after each text."""
+        """Ids laid end to end, as 32-bit numbers, and their number per text; `last`, if given, is put after each."""
+        found, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for parts, text_of, final in self._groups(texts):
+            ids, n = self._encoded(parts, None if last is None else (last, np.array(final)))
+            found.append(ids.astype(np.uint32))
+            np.add.at(counts, text_of, n)
+        return np.concatenate(found), counts
+
+    def _encoded(self, texts: list[str], last: tuple[int, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
         places, piece, owner, special = self._tokens(texts)
         # one entry for each pre-token, special and last id, in order
         ends = [(np.flatnonzero(special >= 0), special[special >= 0], 1)]
         if last is not None:
-            final = np.flatnonzero(np.diff(owner, append=-1))
-            ends.append((final, np.full(len(final), last), 2))
+            final = np.flatnonzero(np.diff(owner, append=-1))[last[1]]
+            ends.append((final, np.full(len(final), last[0]), 2))
         where = np.concatenate([piece, *(e[0] for e in ends)])
         order = np.concatenate([np.zeros(len(piece), np.int64), *(np.full(len(e[0]), e[2]) for e in ends)])
         lengths = np.concatenate([self.lengths[places], *(np.ones(len(e[0]), np.int64) for e in ends)])

@@ -3,12 +3,14 @@
 A document's ids, closed by id 0, are cut into full windows from its start; the rest is placed in the open window
 whose free space it fits best. A partition keeps at most `OPEN` windows open: when nothing fits, the fullest is emitted
 and a new one opened. What stays open at the end of a partition is merged: the leftovers of `FAN` partitions meet in
-one task, which holds FAN * OPEN windows at most, and are packed again, longest first. Memory doesn't depend on the
-input, and only a few windows of each FAN partitions are emitted with much padding.
+one task, which holds FAN * OPEN windows at most, and are packed again, longest first. Beside windows, a task holds a
+batch of `BATCH_BYTES`, or one longer text with its ids. Only a few windows of each FAN partitions are emitted with
+much padding.
 
 Defined results: a null or empty text is the single id 0; a document's rows are its pieces, also if its id is null or
-repeated; sequence ids are unique but depend on how the input is split; an empty table gives an empty result; other
-columns are not read.
+repeated, and repeated rows are packed each for itself; a very long text is cut into full windows and one rest; pieces
+of equal length are placed in order of partition and place; sequence ids are unique but depend on how the input is
+split; an empty table gives an empty result; other columns are not read, so their names may clash with ours.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -80,13 +81,13 @@ def pieces(docs: DataFrame, file: str, capacity: int, most_open: int, id_col: st
             sequence, offset, out = ((part << COUNTER_BITS) | counter) << 1, 0, []
             counter += 1
             for row in rows:
-                out.append((*row, sequence, offset, part))
+                out.append((*row, sequence, offset, part, None))
                 offset += row[2]
             return out
 
         for doc_ids, raws in in_batches(batches, BATCH_BYTES):
             ids, lengths = encoder.encode([r.decode() for r in raws], END_ID)
-            data, out, at = memoryview(ids.astype("<u4").tobytes()), [], 0
+            data, out, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), [], 0
             for doc, n in zip(doc_ids, lengths.tolist(), strict=True):
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)
@@ -97,12 +98,14 @@ def pieces(docs: DataFrame, file: str, capacity: int, most_open: int, id_col: st
                         out += emitted(full)
                 at += n
             yield _batch(out)
-        yield _batch([(*row, None, None, part) for rows in windows.held.values() for row in rows])
+        left = (row for rows in windows.held.values() for row in rows)
+        yield _batch([(*row, None, None, part, n) for n, row in enumerate(left)])
 
-    return skinny(docs, id_col, text_col).mapInArrow(work, f"{PLACED}, part long")
+    return skinny(docs, id_col, text_col).mapInArrow(work, f"{PLACED}, part long, number long")
 
 
-_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part"]
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "number"]
+_OUT = _NAMES[:-2]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -113,21 +116,20 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def merged(left: DataFrame, capacity: int, fan: int) -> DataFrame:
     """Leftover pieces of every `fan` partitions packed together, longest first."""
 
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "part", "doc_id", "start"], ascending=[False, True, True, True], kind="stable")
-        windows, at = Windows(len(rows) + 1, capacity), np.zeros(len(rows), np.int64)
-        for i, length in enumerate(rows["length"].tolist()):
+    def work(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("part", "ascending"), ("number", "ascending")])
+        lengths = rows["length"].to_numpy()
+        windows, at, offsets = Windows(len(lengths) + 1, capacity), *np.zeros((2, len(lengths)), np.int64)
+        for i, length in enumerate(lengths.tolist()):
             windows.place(length, i)
-        offsets, lengths = np.zeros(len(rows), np.int64), rows["length"].to_numpy()
         for window, held in windows.held.items():
             at[held] = window
             offsets[held] = np.cumsum(lengths[held]) - lengths[held]
-        rows["sequence_id"] = (((int(key[0]) << COUNTER_BITS) | at) << 1) | 1
-        rows["offset"] = offsets
-        return rows[_NAMES[:-1]]
+        sequence = (((key[0].as_py() << COUNTER_BITS) | at) << 1) | 1
+        columns = {n: rows[n] for n in _OUT} | {"sequence_id": pa.array(sequence), "offset": pa.array(offsets)}
+        return pa.table(columns)
 
-    typed = ", ".join(f"{n} long" for n in _NAMES[:-1])
-    return left.groupBy(F.floor(F.col("part") / fan).alias("meeting")).applyInPandas(work, typed)
+    return left.groupBy(F.floor(F.col("part") / fan).alias("meeting")).applyInArrow(work, PLACED)
 
 
 def pack(
@@ -136,7 +138,7 @@ def pack(
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece."""
     found = durable(pieces(docs, file, capacity, most_open, id_col, text_col))
-    done = found.filter("sequence_id IS NOT NULL").drop("part")
+    done = found.filter("sequence_id IS NOT NULL").select(*_OUT)
     return done.unionByName(merged(found.filter("sequence_id IS NULL"), capacity, fan))
 
 

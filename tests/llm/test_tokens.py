@@ -6,7 +6,7 @@ import pytest
 from llm_cases import plain
 from tokenizers import Tokenizer
 
-from fairlead.llm import packing, token_count
+from fairlead.llm import bpe, packing, token_count
 from fairlead.llm.bpe import Encoder
 
 HARD = ["", " ", "  ", "it's we'll they've I'm you'd 're 'x ''s  's", "foo  bar\n\n baz \t\tq", "trail   ", "<|endoftext|>", "a<|endoftext|>b <|endoftext|><|endoftext|>",
@@ -40,6 +40,37 @@ def test_memory_is_bounded(library):
     assert len(small.number) <= 50
 
 
+def thue_morse(letters, n):
+    a, b = letters, letters[::-1]
+    words = []
+    for first, second in (a, b):
+        word, swap = first, str.maketrans(first + second, second + first)
+        while len(word) < n:
+            word += word.translate(swap)
+        words.append(word)
+    return words
+
+
+def test_words_that_collide_under_polynomials(library, encoder):
+    for texts in (thue_morse("ab", 1024), thue_morse("ab", 2048), [" ".join(thue_morse("xy", 2048) * 2)], ["".join(thue_morse("αβ", 1024))]):
+        ids, n = encoder.encode(texts, 0)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids + [0] for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert (encoder.count(texts) == n - 1).all()
+
+
+def test_long_texts_are_encoded_in_parts(library, monkeypatch):
+    rng = random.Random(4)
+    alphabet = list("ab' \n\t.,1é😀") + ["s", "re", "<|endoftext|>", "  ", " \n", "\u3000 "]
+    texts = HARD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(200))) for _ in range(400)]
+    monkeypatch.setattr(bpe, "LONG", 7)
+    monkeypatch.setattr(bpe.parts_of, "__defaults__", (7,))
+    assert all("".join(bpe.parts_of(t)) == t for t in texts) and sum(len(bpe.parts_of(t)) > 1 for t in texts) > 200
+    own = Encoder(token_count.tokenizer_path())
+    ids, n = own.encode(texts, 0)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids + [0] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert (own.count(texts) == n - 1).all()
+
+
 def test_counts(library, awkward, none):
     expected = sorted(((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in plain(awkward)), key=str)
     found = token_count.token_counts(awkward).collect()
@@ -79,6 +110,12 @@ def test_windows_are_bounded_and_well_filled():
     assert sum(emitted) / (1024 * len(emitted)) > 0.9
 
 
+def test_ids_beside_a_null_id_are_whole(spark):
+    great = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    docs = spark.createDataFrame([(i, f"some words {k}") for k, i in enumerate(great)], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id for r in packing.pack(docs).collect()), key=str) == sorted(great, key=str)
+
+
 def test_rows_without_ids(awkward, none):
     rows = packing.pack(awkward).collect()
     assert sum(1 for r in rows if r.doc_id is None and r.doc_tokens == 1) == 1

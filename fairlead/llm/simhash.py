@@ -5,25 +5,24 @@ index is keyed by three positions and their bytes. Twenty triples of positions a
 positions to contain one of them, so each pair in question meets under some key. Where fingerprints meet, the
 agreeing bytes of a pair are tallied, pairs below four dropped, and the others verified by their differing bits.
 
-A `Scheme` says how wide shingles are, how many 64-bit words a fingerprint has and which pairs link. `EXACT` is the one
-above. `NEAR`, for cleaning a corpus, takes five words and two 64-bit words: at most 19 of 128 differing bits are what
-texts with a Jaccard similarity of 0.8 have on average. Pairs of up to 9 differing bits always meet, as one word of
-theirs differs in 4 at most; others meet if they share a triple, more likely the more alike they are.
-
 Equal fingerprints are one entry. A key's entries are compared in the task that sorts them, and what leaves it is a
 spanning forest of the links found, never all pairs. A key with more than `RUN_LIMIT` entries is dealt in blocks: every
 two blocks meet in a task of their own, so no task holds more than two blocks of a key, and no pair is missed.
 Components come from alternating stars over the links, durably; nothing is collected on the driver.
 
+This is exact for pairs that differ in few bits. Texts whose five-word shingles are 0.8 similar differ in 10 of 64 bits
+on average, which three agreeing bytes can't find reliably; see `near_duplicates` for those.
+
 Defined results: a null or empty text has fingerprint zero and links like any other; fewer than four words are one
-shingle; a null id has a fingerprint and a component, but is never a component's id unless all its ids are null;
-repeated rows are each returned; an empty table gives an empty result; other columns are not read.
+shingle; a bit that is set in exactly half of the hashes is 0; a null id has a fingerprint and a component, but is never
+a component's id unless all its ids are null; repeated rows are each returned; a very long text is held once, and its
+shingles are hashed 65,536 at a time; an empty table gives an empty result; other columns are not read, so their names
+may clash with ours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -35,22 +34,9 @@ from fairlead.llm.graph import components, durable
 from fairlead.llm.media import skinny
 
 
-@dataclass(frozen=True)
-class Scheme:
-    """Shingle width in words, a hash seed for each 64-bit word, and what a pair that links agrees and differs in."""
-
-    width: int = 4
-    seeds: tuple[int, ...] = (42,)
-    max_bits: int = 4
-    min_bytes: int = 4
-
-    @property
-    def words(self) -> list[str]:
-        return [f"fp{k}" for k in range(len(self.seeds))]
-
-
-EXACT = Scheme()
-NEAR = Scheme(width=5, seeds=(42, 43), max_bits=19, min_bytes=3)
+#: Words of a shingle, seed of its hash, and what linked fingerprints agree and differ in.
+WIDTH, SEED = 4, 42
+MIN_BYTES, MAX_BITS = 4, 4
 #: Entries of a key that one task compares at once.
 RUN_LIMIT = 65_536
 #: Keys with fewer entries are compared across the whole batch at once, by distance in the sorted order.
@@ -67,7 +53,7 @@ def triples() -> list[tuple[int, int, int]]:
     return found
 
 
-def fingerprint(raw: bytes, width: int = EXACT.width, seed: int = EXACT.seeds[0]) -> int:
+def fingerprint(raw: bytes, width: int = WIDTH, seed: int = SEED) -> int:
     """64 bits; bit i is set if it is in over half of the hashes of the text's word shingles."""
     import xxhash
 
@@ -86,32 +72,24 @@ def fingerprint(raw: bytes, width: int = EXACT.width, seed: int = EXACT.seeds[0]
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp0, ...) for every row, words as signed longs; narrow."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, node) for every row; node is the fingerprint as a signed long. Narrow."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = [raw.as_py() for raw in batch.column(1)]
-            words = (np.array([fingerprint(r, scheme.width, s) for r in raws], np.uint64).view(np.int64) for s in scheme.seeds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, words)], ["id", *scheme.words])
-
-    return skinny(docs, id_col, text_col).mapInArrow(work, "id long, " + ", ".join(f"{w} long" for w in scheme.words))
-
+            found = np.array([fingerprint(raw.as_py()) for raw in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "node"])
 
-def node_of(scheme: Scheme):
-    """What stands for a fingerprint in the graph: itself, or a hash of its words."""
-    return F.col(scheme.words[0]) if len(scheme.words) == 1 else F.xxhash64(*scheme.words)
+    return skinny(docs, id_col, text_col).mapInArrow(work, "id long, node long")
 
 
-def index(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """(key, node, fp0, ...): an entry under each triple of positions of each word."""
-    byte = lambda w, p: F.shiftrightunsigned(w, 8 * p).bitwiseAND(255)
+def index(nodes: DataFrame) -> DataFrame:
+    """(key, node): an entry under each triple of positions."""
+    byte = lambda p: F.shiftrightunsigned("node", 8 * p).bitwiseAND(255)
     keys = [
-        sum((F.shiftleft(byte(w, p), 8 * i) for i, p in enumerate(t)), F.lit(100 * h + k).cast("long") * (1 << 24))
-        for h, w in enumerate(scheme.words)
-        for k, t in enumerate(triples())
+        sum((F.shiftleft(byte(p), 8 * i) for i, p in enumerate(t)), F.lit(k).cast("long") * (1 << 24)) for k, t in enumerate(triples())
     ]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "node", *scheme.words)
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "node")
 
 
 def dealt(entries: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
@@ -129,16 +107,16 @@ def dealt(entries: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
     return entries.join(hot, "key", "left").select("key", deal, *(c for c in entries.columns if c != "key"))
 
 
-def near(a: np.ndarray, b: np.ndarray, scheme: Scheme = EXACT) -> np.ndarray:
-    """Where fingerprints, rows of words, agree in enough bytes, then differ in few enough bits."""
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where fingerprints agree in enough bytes, then differ in few enough bits."""
     differ = a ^ b
-    tally = (differ.view(np.uint8).reshape(len(differ), -1) == 0).sum(1)
-    found = tally >= scheme.min_bytes
-    found[found] = np.bitwise_count(differ[found]).sum(1) <= scheme.max_bits
+    tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    found = tally >= MIN_BYTES
+    found[found] = np.bitwise_count(differ[found]) <= MAX_BITS
     return found
 
 
-def _forest(fps: np.ndarray, scheme: Scheme) -> list[tuple[int, np.ndarray]]:
+def _forest(fps: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(first member, other members) of each component within a run of different fingerprints.
 
     Each member is compared once with those that no component has reached yet.
@@ -148,7 +126,7 @@ def _forest(fps: np.ndarray, scheme: Scheme) -> list[tuple[int, np.ndarray]]:
         root, unseen = int(unseen[0]), unseen[1:]
         front, own = [root], []
         while front and len(unseen):
-            hit = near(fps[unseen], fps[front.pop()][None, :], scheme)
+            hit = near(fps[unseen], fps[front.pop()])
             own.append(unseen[hit])
             front.extend(unseen[hit].tolist())
             unseen = unseen[~hit]
@@ -156,7 +134,7 @@ def _forest(fps: np.ndarray, scheme: Scheme) -> list[tuple[int, np.ndarray]]:
     return found
 
 
-def _links(run: np.ndarray, fps: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+def _links(run: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of links among entries sorted by run; run is the number of each."""
     first = np.flatnonzero(np.diff(run, prepend=run[0] - 1))
     sizes = np.diff(first, append=len(run))
@@ -165,79 +143,66 @@ def _links(run: np.ndarray, fps: np.ndarray, scheme: Scheme) -> tuple[np.ndarray
     for d in range(1, int(sizes[sizes <= SHORT_RUN].max(initial=1))):
         at = at[at + d < len(run)]
         at = at[run[at] == run[at + d]]
-        hit = at[near(fps[at], fps[at + d], scheme)]
+        hit = at[near(fps[at], fps[at + d])]
         a.append(hit)
         b.append(hit + d)
     for i in np.flatnonzero(sizes > SHORT_RUN):
-        for root, others in _forest(fps[first[i] : first[i] + sizes[i]], scheme):
+        for root, others in _forest(fps[first[i] : first[i] + sizes[i]]):
             a.append(np.full(len(others), first[i] + root))
             b.append(first[i] + others)
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(fps: DataFrame, scheme: Scheme = EXACT, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """(a, b): links between different nodes, enough of them to connect whatever is linked. From distinct (node, fp0, ...)."""
+def links(nodes: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """(a, b): links between different nodes, enough of them to connect whatever is linked. From distinct (node)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_run, kept_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        kept = np.zeros((0, len(scheme.words)), np.uint64)
+        kept_run, kept = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         number, last = 0, None
 
-        def found(run, node, fps):
-            a, b = _links(run, fps, scheme)
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        def found(run, fps):
+            a, b = _links(run, fps)
+            return pa.RecordBatch.from_arrays([pa.array(fps[a].view(np.int64)), pa.array(fps[b].view(np.int64))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, deal, node, *words = (np.asarray(c) for c in batch.columns)
+            key, deal, node = (np.asarray(c) for c in batch.columns)
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (deal[1:] != deal[:-1])
             new[0] = last != (key[0], deal[0])
             run, last = number + np.cumsum(new), (key[-1], deal[-1])
             number = int(run[-1])
-            fps = np.stack(words, 1).view(np.uint64)
-            kept_run, kept_node, kept = (np.concatenate(x) for x in ((kept_run, run), (kept_node, node), (kept, fps)))
+            kept_run, kept = np.concatenate([kept_run, run]), np.concatenate([kept, node.view(np.uint64)])
             done = kept_run < number  # the last run may go on
             if done.any():
-                yield found(kept_run[done], kept_node[done], kept[done])
-                kept_run, kept_node, kept = kept_run[~done], kept_node[~done], kept[~done]
+                yield found(kept_run[done], kept[done])
+                kept_run, kept = kept_run[~done], kept[~done]
         if len(kept):
-            yield found(kept_run, kept_node, kept)
+            yield found(kept_run, kept)
 
-    meeting = dealt(index(fps, scheme), run_limit).repartition("key", "deal").sortWithinPartitions("key", "deal", "node")
+    meeting = dealt(index(nodes), run_limit).repartition("key", "deal").sortWithinPartitions("key", "deal", "node")
     return meeting.mapInArrow(work, "a long, b long")
 
 
-def groups(
-    docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", text_col: str = "text", run_limit: int = RUN_LIMIT
-) -> DataFrame:
-    """(id, fp0, ..., component_id) for every row; component_id is the least id that links lead to."""
-    prints = durable(fingerprints(docs, scheme, id_col, text_col).withColumn("node", node_of(scheme)))
-    entries = prints.groupBy("node", *scheme.words).agg(F.min("id").alias("least"))
-    roots = components(links(entries.select("node", *scheme.words), scheme, run_limit)).withColumnRenamed("node", "at")
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_limit: int = RUN_LIMIT) -> DataFrame:
+    """(id, node, component_id) for every row; component_id is the least id that links lead to."""
+    prints = durable(fingerprints(docs, id_col, text_col))
+    entries = durable(prints.groupBy("node").agg(F.min("id").alias("least")))
+    roots = components(links(entries.select("node"), run_limit)).withColumnRenamed("node", "at")
     rooted = entries.join(roots, F.col("node") == F.col("at"), "left").select(
         "node", F.coalesce("root", "node").alias("root"), "least"
     )
     # kept before it is joined with: a join right above an aggregation isn't split where a component is large
     least = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_node = rooted.select("node", "root").join(least, "root").drop("root")
-    return prints.join(by_node, "node").select("id", *scheme.words, "component_id")
-
-
-def keep_one(
-    docs: DataFrame, scheme: Scheme = NEAR, id_col: str = "doc_id", text_col: str = "text", run_limit: int = RUN_LIMIT
-) -> DataFrame:
-    """The rows whose id is their component's; of rows with the same id all stay. Columns are as they are."""
-    found = groups(docs, scheme, id_col, text_col, run_limit)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    return prints.join(by_node, "node").select("id", "node", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op6_simhash": op6_simhash}

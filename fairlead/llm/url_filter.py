@@ -1,18 +1,20 @@
 """URL filter: host rules, then a ratio of two character language models, calibrated on held-out URLs.
 
 Rules with a host and a path prefix decide what they fit, the longest one winning. URLs that no rule fits are judged
-by two variable-order Markov models over a small alphabet, one of accepted and one of rejected URLs: a character's
+as whole strings, scheme, query and fragment included, by two variable-order Markov models over a small alphabet, one of accepted and one of rejected URLs: a character's
 probability after a context of two is interpolated with those after shorter contexts (Witten and Bell), and a context
 seen less than `MIN_CONTEXT` times is passed over for the next shorter one. The score is the difference of
 log-likelihoods per character; the threshold is the edge of a score bin that best separates held-out labelled URLs.
 
 The labelled URLs are those that a rule decides, all of them. Whatever their number, counts have at most
-`SIZE` ** 3 = 32,768 cells for each model, so the ratio table is one array of that many doubles, which reaches the
+`SIZE` ** 3 = 54,872 cells for each model, so the ratio table is one array of that many doubles, which reaches the
 scan as a scalar subquery; the histogram for the threshold has at most 2 * 401 rows. No row of the table is shuffled.
 
-Defined results: a null URL or one without `://` has an empty host and path, fits no rule and is judged as an empty
-text; without labelled URLs of both kinds every score is compared with 0 and ties are allowed; rows are judged each
-for itself; an empty table gives an empty result; other columns are not read.
+Defined results: a null URL or one without `://` has an empty host and path and fits no rule; the models judge its own
+characters, of a null URL the empty text; without labelled URLs of both kinds every score is compared with 0, and ties
+are allowed; where cuts separate held-out URLs equally well, the nearest to 0 is taken, then the greater; a very long
+URL is one array of its characters; repeated rows are judged each for itself; an empty table gives an empty result; other
+columns are not read, so their names may clash with ours.
 """
 
 from __future__ import annotations
@@ -46,7 +48,9 @@ RULES = (
     Rule("block", "net", "/fr/"),
 )
 #: What a character is to the models; any digit is 0, anything else `~`, and `^` stands before and after a text.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0.-/~^"
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0.-/:?=&#_~^"
+#: Characters that are taken for others: capitals for small letters, digits for 0.
+PLAIN_OF, PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
 SIZE = len(ALPHABET)
 EDGE, OTHER = SIZE - 1, SIZE - 2
 MIN_CONTEXT = 4
@@ -76,7 +80,7 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
 
 def cells(text: Column) -> Column:
     """Array with a number for each character and the end: those of the two characters before it and its own."""
-    plain = F.translate(F.lower(text), "123456789", "000000000")
+    plain = F.translate(text, PLAIN_OF, PLAIN)
     codes = F.transform(
         F.array_remove(F.split(plain, ""), ""),
         lambda c: F.when(F.locate("~", c) + F.locate("^", c) > 0, OTHER)
@@ -167,9 +171,8 @@ def parsed(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "pag
         F.col(id_col).alias("id"), F.col(url_col).alias("url"),
         host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
     )
-    return parts.select(
-        "*", rule_of(F.col("host"), F.col("path"), rules).alias("ruled"), cells(F.concat("host", "path")).alias("cells")
-    )
+    whole = F.coalesce(F.col("url"), F.lit(""))
+    return parts.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("ruled"), cells(whole).alias("cells"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -218,7 +221,7 @@ ORACLES = {
 WITH parts AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 ruled AS (SELECT *, {_rule_sql("text")} AS rule, {_rule_sql("verdict")} AS ruling,
-            list_concat([{EDGE}, {EDGE}], list_transform(string_split(translate(lower(host || path), '123456789', '000000000'), ''), lambda c: {_CODE_SQL}), [{EDGE}]) AS codes FROM parts),
+            list_concat([{EDGE}, {EDGE}], list_transform(string_split(translate(coalesce(url, ''), '{PLAIN_OF}', '{PLAIN}'), ''), lambda c: {_CODE_SQL}), [{EDGE}]) AS codes FROM parts),
 coded AS (SELECT *, list_transform(range(3, len(codes) + 1), lambda i: (codes[i - 2] * {SIZE} + codes[i - 1]) * {SIZE} + codes[i]) AS cells,
             substr(md5(url), 1, 1) IN ({", ".join(f"'{d}'" for d in HELD_OUT)}) AS held FROM ruled),
 counts AS (SELECT cell, count(*) FILTER (WHERE ruling = 'allow') AS allow, count(*) FILTER (WHERE ruling = 'block') AS block

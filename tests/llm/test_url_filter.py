@@ -29,6 +29,15 @@ def test_the_models_separate_held_out_urls(spark):
     assert {url: found[re.sub("^http://", "", url)] for url in fresh} == fresh
 
 
+def test_queries_and_urls_without_a_scheme_are_judged_by_what_they_say(spark):
+    good = [f"http://{w}{k}.com/?topic={w}" for k in range(60) for w in ("garden", "river", "meadow")]
+    bad = [f"http://{w}{k}.net/es/?topic={w}" for k in range(60) for w in ("casino", "pokies", "jackpot")]
+    fresh = {"http://a.org/x?topic=garden#river": "allow", "http://a.org/x?topic=casino#pokies": "block", "river-meadow garden": "allow", "jackpot-casino pokies": "block"}
+    urls = good + bad + list(fresh)
+    found = {r.page_id: r.verdict for r in u.judge(pages(spark, urls)).collect()}
+    assert {url: found[len(good + bad) + k] for k, url in enumerate(fresh)} == fresh
+
+
 def test_no_rows_and_one_kind_only(spark):
     assert u.judge(pages(spark, ["http://a.com/"]).filter("false")).count() == 0
     only = u.judge(pages(spark, ["http://a.com/", "http://b.org/"])).collect()

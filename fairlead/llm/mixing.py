@@ -4,15 +4,16 @@ Sources in code point order (null last) weigh 3, 1, 2, 3, ... and share 150 % of
 twice its own size and what it can't take goes to the others by weight. A target of more than one source size means
 whole epochs plus a cut through a random order of the source.
 
-The random order comes from MD5 of a seed and the row's id, so reruns and retried tasks agree. Its first hex digits
-deal a source into `RANGES` ranges of near-equal size, so even a source with most of the rows is sorted and summed by
-many tasks; the prefix sum within a range is a window, the offsets of ranges are a second window over one row per
-range, and only ids, keys and sizes are ever shuffled. The table of sources (one row each) is ranked in one task.
-
-Defined results: a null text has size 0; a null source is a source of its own; a null id takes part with an empty key;
-rows are in order of key, id, size and a hash of the text, and those equal in all four are interchangeable, so the rows
-as a whole are defined though not which copy is cut; `mix` takes exactly as many of them as the plan;
-a source of size 0 has target 0; an empty table gives an empty result; other columns are carried by `mix` and not read.
+The random order comes from MD5 of a seed, the row's id and its text, so reruns and retried tasks agree. Its first hex
+digits deal a source into `RANGES` ranges of near-equal size, so even a source with most of the rows is sorted and summed
+by many tasks; the prefix sum within a range is a window, the offsets of ranges are a second window over one row per
+range, and only ids, keys and sizes are ever shuffled, after rows that are equal in all of them are counted. Texts are
+scanned once. Sources are ranked by running sums over sorted ranges, so there may be many.
+
+Defined results: a null text has size 0; a null source is a source of its own; null ids are ids like others; rows of the
+same id and text are interchangeable, so the rows as a whole are defined though not which copy is cut; `mix` takes
+exactly as many of them as the plan; a very long text is one row, which the cut may go through; a source of size 0 has
+target 0; an empty table gives an empty result; other columns are carried by `mix`, whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fairlead.llm.graph import durable
+from fairlead.functions.stages import durable, running
 from fairlead.llm.quality import words_of
 
 WEIGHTS = (3, 1, 2)
@@ -30,29 +31,27 @@ SEED = "mix-1"
 #: Targets together are SHARE_NUM / SHARE_DEN of all sizes, each at most MAX_EPOCHS times its source's.
 SHARE_NUM, SHARE_DEN, MAX_EPOCHS = 3, 2, 2
 GROUP = ["source_null", "source_key"]
-#: The order of a source's rows; rows equal in all of it are copies.
-ORDER = ["key", "id", "size", "hash"]
 #: Cuts of up to so many sources, some 100 bytes each, are sent to every task; more are joined by a shuffle.
 MOST_SENT = 50_000
 
 
-def key_of(id_col: Column, seed: str = SEED) -> Column:
-    """32 hex digits, uniform over rows and the same on every run."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def key_of(id_col: Column, text: Column, seed: str = SEED) -> Column:
+    """32 hex digits, uniform over different rows and the same on every run."""
+    own = F.coalesce(id_col.cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), own, F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    """(id, source_null, source_key, key, part, size, hash), dealt by source and range of keys."""
+    """(source_null, source_key, key, id, size, copies, part), one row for rows of the same id and text; kept."""
     skinny = docs.select(
-        F.col(id_col).alias("id"),
         F.col(source_col).isNull().alias("source_null"),
         F.coalesce(F.col(source_col), F.lit("")).alias("source_key"),
-        key_of(F.col(id_col), seed).alias("key"),
+        key_of(F.col(id_col), F.col(text_col), seed).alias("key"),
+        F.col(id_col).alias("id"),
         F.size(words_of(F.col(text_col))).cast("long").alias("size"),
-        F.xxhash64(text_col).alias("hash"),
     )
-    digits = len(f"{RANGES:x}") - 1
-    return skinny.withColumn("part", F.substring("key", 1, digits)).repartition(*GROUP, "part")
+    counted = skinny.groupBy(*GROUP, "key", "id", "size").agg(F.count("*").alias("copies"))
+    return durable(counted.withColumn("part", F.substring("key", 1, len(f"{RANGES:x}") - 1)))
 
 
 def targets(per_range: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -62,50 +61,54 @@ def targets(per_range: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFra
     (budget - caps before) / (weights from here on): it rises while sources fill up and falls afterwards.
     """
     sizes = per_range.groupBy(*GROUP).agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(*GROUP)) - 1
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), rank % len(weights) + 1))
+    ranked = running(sizes, GROUP, {"rank": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     cap = MAX_EPOCHS * F.col("source_size")
-    by_level = Window.orderBy(cap / F.col("weight"), *GROUP)
-    before = F.coalesce(F.sum(cap).over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    onward = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy())
-    level = (SHARE_NUM * total - SHARE_DEN * before).cast("double") / (SHARE_DEN * onward).cast("double")
-    common = F.max("level").over(Window.partitionBy())
+    weighed = ranked.withColumn("weight", weight).withColumn("fills_at", cap / F.col("weight"))
+    level = ["fills_at", *GROUP]
+    filling = running(weighed, level, {"caps": cap, "weights": F.col("weight").cast("long")})
+    total = filling.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all_weights"))
+    met = filling.join(F.broadcast(total))
+    onward = F.col("all_weights") - F.col("weights")
+    at = (SHARE_NUM * F.col("total") - SHARE_DEN * F.col("caps")).cast("double") / (SHARE_DEN * onward).cast("double")
+    common = met.agg(F.max(at).alias("common"))
     target = F.least(cap.cast("double"), F.col("common") * F.col("weight"))
-    return (
-        weighed.withColumn("level", level).withColumn("common", common).select(*GROUP, "source_size", target.alias("target"))
-    )
+    return filling.join(F.broadcast(common)).select(*GROUP, "source_size", target.alias("target"))
 
 
-def sums(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with their range's running sum `upto`, one row per range with the words before it in its source)."""
-    in_range = Window.partitionBy(*GROUP, "part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    per_range = rows.groupBy(*GROUP, "part").agg(F.sum("size").alias("size"))
+def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """(source_null, source_key, key, id, size, copies, source_size, target, epochs, room): `room` is what is left of the
+    source's words, beyond whole epochs, where this row's first copy starts; it may be below 0."""
+    rows = keyed(docs, id_col, text_col, source_col, seed)
+    weight = F.col("size") * F.col("copies")
+    in_range = Window.partitionBy(*GROUP, "part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*GROUP).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = rows.groupBy(*GROUP, "part").agg(F.sum(weight).alias("size"))
     offsets = per_range.withColumn("offset", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    return rows.withColumn("upto", F.sum("size").over(in_range)), offsets
+    ranges = offsets.drop("size").join(targets(per_range), GROUP)
+    budget = F.floor("target").cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
+    room = budget - whole * F.col("source_size") - (F.col("offset") + F.col("upto") - weight)
+    return rows.withColumn("upto", F.sum(weight).over(in_range)).join(ranges, [*GROUP, "part"]).select(
+        *GROUP, "key", "id", "size", "copies", "source_size", "target", whole.cast("int").alias("epochs"), room.alias("room")
+    )
 
 
 def plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED
 ) -> DataFrame:
-    """(id, source_null, source_key, key, size, hash, source_size, target, taken, epochs, more) for every row.
+    """(id, source_null, source_key, key, size, source_size, target, taken, epochs, more) for every row.
 
     A source's words taken are its target's whole words exactly: every document once for each whole epoch, and once
     more in the random order until the rest is used up, where the last document is taken in part.
     """
-    rows = keyed(docs, id_col, text_col, source_col, seed)
-    summed, offsets = sums(rows)
-    ranges = offsets.drop("size").join(targets(offsets), GROUP)
-    budget = F.floor("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
-    rest = budget - whole * F.col("source_size")
-    start = F.col("offset") + F.col("upto") - F.col("size")
-    part = F.least(F.greatest(rest - start, F.lit(0)), F.col("size"))
+    rows = placed(docs, id_col, text_col, source_col, seed)
+    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    part = F.least(F.greatest(F.col("room") - F.col("copy") * F.col("size"), F.lit(0)), F.col("size"))
     more = (part > 0) & (2 * part >= F.col("size"))
-    return summed.join(ranges, [*GROUP, "part"]).select(
-        "id", *GROUP, "key", "size", "hash", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"),
-        whole.cast("int").alias("epochs"), more.alias("more"),
+    return each.select(
+        "id", *GROUP, "key", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
+        "epochs", more.alias("more"),
     )
 
 
@@ -113,15 +116,16 @@ def cuts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED
 ) -> DataFrame:
     """(source_null, source_key, epochs, last, some, copies) for each source: a document is taken `epochs` times, and
-    once more if its place (key, id, size, hash) is before `last` (null: none); of the `copies` rows at `last`, `some`
-    are. The document that the cut goes through is taken if half of it fits."""
-    planned = plan(docs, id_col, text_col, source_col, seed)
-    places = planned.groupBy(*GROUP, *ORDER).agg(
-        F.max("epochs").alias("epochs"), F.sum(F.col("more").cast("long")).alias("some"), F.count("*").alias("copies")
-    )
-    last = F.max(F.when(F.col("some") > 0, F.struct(F.struct(*ORDER).alias("place"), "some", "copies")))
-    found = places.groupBy(*GROUP).agg(F.max("epochs").alias("epochs"), last.alias("last"))
-    return found.select(*GROUP, "epochs", F.col("last.place").alias("last"), "last.some", "last.copies")
+    once more if its key is before `last` (null: none); of the `copies` rows at `last`, `some` are. The document that
+    the cut goes through is taken if half of it fits."""
+    rows = placed(docs, id_col, text_col, source_col, seed).filter("size > 0")
+    room = F.greatest(F.col("room"), F.lit(0))
+    fit = F.least(F.col("copies"), F.floor(room / F.col("size")))
+    half = (fit < F.col("copies")) & (2 * (room - fit * F.col("size")) >= F.col("size"))
+    cut = F.struct(F.col("key"), (fit + half.cast("long")).alias("some"), F.col("copies"))
+    last = F.max(F.when(cut["some"] > 0, cut))
+    found = rows.groupBy(*GROUP).agg(F.max("epochs").alias("epochs"), last.alias("last"))
+    return found.select(*GROUP, "epochs", F.col("last.key").alias("last"), "last.some", "last.copies")
 
 
 def some_of(rows: DataFrame, groups: list[str], some: str) -> DataFrame:
@@ -160,14 +164,13 @@ def mix(
     cut = cut.withColumnsRenamed(names)
     source = docs[source_col]
     same = (source.isNull() == F.col(names["source_null"])) & (F.coalesce(source, F.lit("")) == F.col(names["source_key"]))
-    size = F.size(words_of(docs[text_col])).cast("long")
-    place = F.struct(key_of(docs[id_col], seed).alias("key"), docs[id_col].alias("id"), size.alias("size"), F.xxhash64(docs[text_col]).alias("hash"))
-    last = F.col(names["last"])
-    split = (F.col(names["some"]) < F.col(names["copies"])) & (place == last)
-    more = F.coalesce((size > 0) & (place <= last) & ~split, F.lit(False)).cast("int")
+    key, last = key_of(docs[id_col], docs[text_col], seed), F.col(names["last"])
+    has_words = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    split = (F.col(names["some"]) < F.col(names["copies"])) & (key == last)
+    more = F.coalesce(has_words & (key <= last) & ~split, F.lit(False)).cast("int")
     copy = unused(docs, "mix_copy")
-    joined = docs.join(cut, same)
-    found = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(names["epochs"]) + more)))
+    joined = docs.join(cut, same, "left")
+    found = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col(names["epochs"]), F.lit(0)) + more)))
     found = found.select(*(docs[c] for c in docs.columns))
     if not among:
         return found
@@ -185,7 +188,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: SQL for the plan over a relation `docs` of doc_id, text and source.
 PLANNED_SQL = rf"""
 sized AS (SELECT doc_id, source IS NULL AS source_null, coalesce(source, '') AS source_key,
-            md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+            md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key,
             CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM docs),
 sources AS (SELECT source_null, source_key, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY ALL),
 weighed AS (SELECT *, ([{", ".join(map(str, WEIGHTS))}])[1 + (row_number() OVER (ORDER BY source_null, source_key) - 1) % {len(WEIGHTS)}] AS weight FROM sources),

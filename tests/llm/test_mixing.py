@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 from llm_cases import plain
@@ -42,6 +43,22 @@ def test_reruns_agree_however_rows_are_dealt(awkward):
     assert a == Counter((r.id, r.size, r.taken) for r in mixing.plan(awkward.repartition(7)).collect())
 
 
+def test_rows_without_ids_are_dealt_to_many_ranges(spark):
+    df = spark.createDataFrame([(None, f"text {k}", "a") for k in range(400)] + [(1, "again", "a")] * 300, "doc_id long, text string, source string")
+    rows = mixing.keyed(df, "doc_id", "text", "source", mixing.SEED)
+    assert rows.count() == 401 and rows.select("part").distinct().count() > 300
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(5)
+    sizes = {f"s{rng.randrange(10**6)}": rng.choice((0, 1, 7, rng.randrange(1, 5000))) for _ in range(500)} | {None: 40, "": 3}
+    rows = [(s is None, s or "", "000", n) for s, n in sizes.items()]
+    found = mixing.targets(spark.createDataFrame(rows, "source_null boolean, source_key string, part string, size long").repartition(5)).collect()
+    expected = targets(sizes)
+    assert len(found) == len(sizes)
+    assert all(abs(r.target - expected[None if r.source_null else r.source_key]) < 1e-6 * max(1, r.target) for r in found)
+
+
 def test_mix_returns_whole_documents_near_the_targets(spark, awkward, none):
     mixed = mixing.mix(awkward)
     assert mixed.columns == awkward.columns

@@ -15,11 +15,17 @@ different ones, and who holds the key can invert them.
     email   local part                                         letters and digits permuted, domain kept
     secret  value with a digit, after a word like token=       its alphabet kept
 
-What isn't valid (a card number whose check digit is wrong, 30 February) is left alone. A text without a digit
-or an @, one of which every kind needs, is passed on after one scan. All of it is one projection: no shuffle, no user function.
+What isn't valid (a card number whose check digit is wrong, 30 February) is left alone. A text without a digit or an @,
+one of which every kind needs, is passed on after one scan. All of it is one projection: no shuffle, no user function.
 
-Defined results: a null text stays null, an empty one empty; every row is replaced for itself, repeated rows alike; an
-empty table gives an empty result; other columns are passed on.
+The key is the caller's. It is a literal of the plan, so plans and event logs have to be kept as the key is. The
+registered query and the pipeline take the session's `spark.fairlead.pii.key`, and where none is set a key that is
+written here, which protects nothing.
+
+Defined results: a null text stays null, an empty one empty; where several kinds fit at a place the first in the table's
+order of search is taken; every row is replaced for itself, repeated rows alike; a very long text is searched whole, as
+one string, with patterns whose backtracking is bounded; an empty table gives an empty result; other columns are passed
+on whatever their names, and the order of columns stays.
 """
 
 from __future__ import annotations
@@ -31,7 +37,8 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.quality import bind
 
-KEY = "fairlead-demo-key"
+#: Where the session's key is, and what stands in for it in demonstrations.
+KEY_SETTING, DEMO_KEY = "spark.fairlead.pii.key", "fairlead-demo-key"
 ROUNDS = 8
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 LOWER = DIGITS + "abcdefghijklmnopqrstuvwxyz"
@@ -212,7 +219,7 @@ def kind_of(found: Column) -> Column:
     return kind
 
 
-def pseudonym(found: Column, key: str = KEY) -> Column:
+def pseudonym(found: Column, key: str) -> Column:
     """Another value of the same format for a match; the match itself where it isn't valid."""
     changes = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "card": _card, "date": _date, "phone": _phone}
     ssn = lambda t, k: in_format(t, "0-9", lambda d: permuted(d, DIGITS, "ssn", k))
@@ -226,7 +233,7 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
     return bind(kind_of(found), by_kind)
 
 
-def replaced(text: Column, key: str = KEY) -> Column:
+def replaced(text: Column, key: str) -> Column:
     """Struct (text, found, changed): the text with pseudonyms, the matches, and what each became."""
     matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
@@ -244,13 +251,13 @@ def replaced(text: Column, key: str = KEY) -> Column:
     return bind(matches, among)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The rows with their texts replaced, columns and their order as they are."""
     new = replaced(F.col(text_col), key)["text"]
     return docs.select(*(new.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
-def report(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_found, n_replaced, kinds) for every row; kinds are those replaced, sorted, each once."""
     done = docs.select(F.col(id_col).alias("id"), replaced(F.col(text_col), key).alias("done"))
     pairs = F.filter(F.arrays_zip(F.col("done.found"), F.col("done.changed")), lambda p: p["found"] != p["changed"])
@@ -261,9 +268,14 @@ def report(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: st
     )
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names, else the one for demonstrations."""
+    return spark.conf.get(KEY_SETTING, None) or DEMO_KEY
+
+
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and what was replaced."""
-    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), session_key(spark))
 
 
 QUERIES = {"op4_pii_pseudonyms": op4_pii_pseudonyms}

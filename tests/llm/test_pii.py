@@ -1,5 +1,7 @@
+import random
 import re
 
+import brute_pii as brute
 from llm_cases import plain
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def luhn(digits):
     return total % 10 == 0
 
 
-def run(spark, texts, key=pii.KEY):
+def run(spark, texts, key="a key"):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r for r in pii.report(df, key).collect()}
 
@@ -78,11 +80,57 @@ def test_small_domains_are_permuted(spark):
 
 
 def test_tables(awkward, none):
-    done = pii.pseudonymise(awkward)
+    done = pii.pseudonymise(awkward, "k")
     assert done.columns == awkward.columns
     assert sorted(plain(done), key=str) == sorted(plain(awkward), key=str)  # nothing personal in it
-    assert pii.pseudonymise(none).count() == 0 and pii.report(none).count() == 0
-    assert pii.report(awkward).filter("n_found > 0").count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0 and pii.report(none, "k").count() == 0
+    assert pii.report(awkward, "k").filter("n_found > 0").count() == 0
+
+
+def made(rng):
+    """A text of values of all kinds, some of them invalid, and words between them."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcxyzÄé😀-_.@'0Z ") for _ in range(rng.randrange(6)))
+    body = digits(15)
+    valid = body + str(-brute.luhn(body + "0") % 10)
+    account = rng.choice(("WEST", "3704")) + digits(14)
+    bank = f"GB{brute.check_digits(account, 'GB'):02d}{account}"
+    kinds = (
+        lambda: valid, lambda: " ".join(valid[k : k + 4] for k in range(0, 16, 4)), lambda: digits(16), lambda: bank,
+        lambda: " ".join(bank[k : k + 4] for k in range(0, 22, 4)), lambda: f"GB00{account}", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)),
+        lambda: f"{rng.randrange(1800, 2200)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 32):02d}", lambda: f"{rng.randrange(1, 32):02d}.{rng.randrange(1, 13):02d}.{rng.randrange(1900, 2100)}",
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"+{rng.randrange(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"+{digits(2)} {digits(3)} {digits(6)}", lambda: f"+{digits(11)}",
+        lambda: f"{rng.choice(('Jane.Doe', 'x', 'a_b%c'))}{rng.choice(('', digits(2)))}@mail.example.{rng.choice(('org', 'co.uk'))}",
+        lambda: f"{rng.choice(('token=', 'API_key: ', 'password = '))}{rng.choice(('', 'Ab/', 'f0'))}{digits(9)}", lambda: f"secret={rng.randbytes(20).hex()}",
+    )
+    return " ".join(rng.choice(kinds)() + rng.choice((" ", ",", ".", " and ", word())) for _ in range(rng.randrange(12)))
+
+
+def test_against_plain_python(spark):
+    rng = random.Random(12)
+    texts = TEXTS + [made(rng) for _ in range(600)]
+    rows = run(spark, texts)
+    found = [(r.text, r.n_found, r.n_replaced, r.kinds) for r in (rows[k] for k in range(len(texts)))]
+    assert found == [brute.replaced(t, "a key") for t in texts]
+    kinds = {k for f in found for k in f[3].split(",")}
+    assert kinds >= set(pii.PATTERNS)
+
+
+def test_whoever_holds_the_key_can_invert():
+    rng = random.Random(13)
+    for alphabet in (pii.DIGITS, pii.HEX, pii.LOWER, pii.MIXED):
+        for n in range(1, 80):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            assert brute.restored(brute.permuted(text, alphabet, "t", "k"), alphabet, "t", "k") == text
+
+
+def test_the_sessions_key(spark):
+    assert pii.session_key(spark) == pii.DEMO_KEY
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.session_key(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
 
 
 def test_hostile_lengths(spark):

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders of kept tables that this process has written, by session folder.
 _WRITTEN: dict[str, list[str]] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -45,17 +47,29 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{folder}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.setdefault(folder, []).append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[kept] = path
+    return kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(kept: DataFrame) -> None:
+    """Deletes the table of a frame that `durable` returned, once nothing that reads it is still to run."""
+    path = _PATHS.pop(kept)
+    _WRITTEN[shared_folder(kept.sparkSession)].remove(path)
+    _delete(kept.sparkSession, path)
 
 
 def forget(spark: SparkSession) -> int:
     """Deletes the tables kept by this process in the session's shared folder; their number. For a caller that has
     written or collected all results."""
     paths = _WRITTEN.pop(shared_folder(spark), [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, path)
     return len(paths)
 
 

@@ -25,34 +25,36 @@ def _seconds(days: Column, hour: Column, minute: Column, second: Column) -> Colu
     return (days.cast("long") * 86400 + hour * 3600 + minute * 60 + second).cast("double")
 
 
-def _parts(text: Column, pattern: str, groups: tuple[int, ...]) -> list[Column]:
-    return [F.nullif(F.regexp_extract(text, pattern, g), F.lit("")).cast("int") for g in groups]
-
-
-CSV_TIME = r"^([0-9]{2})/([0-9]{2})/([0-9]{4}) ([0-9]{2}):([0-9]{2}):([0-9]{2})$"
-ISO_TIME = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]+))?(Z|([+-])([0-9]{2}):([0-9]{2}))$"
+CSV_TIME = r"^[0-9]{2}/[0-9]{2}/[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
+ISO_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
 
 
 def _valid(month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
     return month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
 
 
+def _at(text: Column, *places: tuple[int, int]) -> list[Column]:
+    """Numbers of so many digits at fixed places."""
+    return [F.substr(text, F.lit(at), F.lit(n)).try_cast("int") for at, n in places]
+
+
 def csv_time(text: Column) -> Column:
     """Unix seconds of `DD/MM/YYYY HH:MM:SS`, or null."""
-    day, month, year, hour, minute, second = _parts(text, CSV_TIME, (1, 2, 3, 4, 5, 6))
-    good = text.rlike(CSV_TIME) & _valid(month, day, hour, minute, second) & (year >= 1)
+    day, month, year, hour, minute, second = _at(F.when(text.rlike(CSV_TIME), text), (1, 2), (4, 2), (7, 4), (12, 2), (15, 2), (18, 2))
+    good = _valid(month, day, hour, minute, second) & (year >= 1)
     return F.when(good, _seconds(civil_days(year, F.when(good, month).otherwise(1), day), hour, minute, second))
 
 
 def iso_time(text: Column) -> Column:
     """Unix seconds of an ISO-8601 time with a zone, its fraction up to nine digits, or null."""
-    year, month, day, hour, minute, second, off_h, off_m = _parts(text, ISO_TIME, (1, 2, 3, 4, 5, 6, 10, 11))
-    zone = F.when(F.regexp_extract(text, ISO_TIME, 8) == "Z", F.lit(0)).otherwise(
-        F.when(F.regexp_extract(text, ISO_TIME, 9) == "-", -1).otherwise(1) * (off_h * 3600 + off_m * 60)
-    )
-    digits = F.substr(F.regexp_extract(text, ISO_TIME, 7), F.lit(1), F.lit(9))
+    whole = F.when(text.rlike(ISO_TIME), text)
+    year, month, day, hour, minute, second = _at(whole, (1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))
+    off_h, off_m = _at(F.right(whole, F.lit(5)), (1, 2), (4, 2))
+    sign = F.when(F.left(F.right(whole, F.lit(6)), F.lit(1)) == "-", -1).otherwise(1)
+    utc = whole.endswith("Z")
+    zone = F.when(utc, 0).otherwise(sign * (off_h * 3600 + off_m * 60))
+    digits = F.substr(F.regexp_extract(whole, r"\.([0-9]+)", 1), F.lit(1), F.lit(9))
     fraction = F.when(digits != "", F.concat(F.lit("0."), digits).cast("double")).otherwise(0.0)
-    good = text.rlike(ISO_TIME) & _valid(month, day, hour, minute, second) & (year >= 1)
-    good = good & F.coalesce((off_h <= 23) & (off_m <= 59), F.lit(True))
-    whole = _seconds(civil_days(year, F.when(good, month).otherwise(1), day), hour, minute, second)
-    return F.when(good, whole - zone + fraction)
+    good = _valid(month, day, hour, minute, second) & (year >= 1) & (utc | ((off_h <= 23) & (off_m <= 59)))
+    days = _seconds(civil_days(year, F.when(good, month).otherwise(1), day), hour, minute, second)
+    return F.when(good, days - zone + fraction)

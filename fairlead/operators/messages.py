@@ -46,61 +46,63 @@ def place(lat_raw: Column, lon_raw: Column) -> tuple[Column, Column]:
     return F.when(inside, lat), F.when(inside, lon)
 
 
-def dimensions(b: Column, at: int) -> Column:
+def dimensions(b: bits.Bits, at: int) -> Column:
     sizes = zip(("to_bow", "to_stern", "to_port", "to_starboard"), (at, at + 9, at + 18, at + 24), (9, 9, 6, 6), strict=True)
-    return F.struct(*(bits.unsigned(b, start, n).cast("int").alias(name) for name, start, n in sizes))
+    return F.struct(*(b.unsigned(start, n).cast("int").alias(name) for name, start, n in sizes))
 
 
-def _report(b: Column, layout: dict[str, int]) -> dict[str, Column]:
-    lat, lon = place(bits.signed(b, layout["lat"], 27), bits.signed(b, layout["lon"], 28))
+def _report(b: bits.Bits, layout: dict[str, int]) -> dict[str, Column]:
+    lat, lon = place(b.signed(layout["lat"], 27), b.signed(layout["lon"], 28))
     return {
-        "sog": speed(bits.unsigned(b, layout["sog"], 10)),
-        "accuracy": bits.unsigned(b, layout["accuracy"], 1) == 1,
+        "sog": speed(b.unsigned(layout["sog"], 10)),
+        "accuracy": b.unsigned(layout["accuracy"], 1) == 1,
         "lat": lat,
         "lon": lon,
-        "cog": course(bits.unsigned(b, layout["cog"], 12)),
-        "heading": heading(bits.unsigned(b, layout["heading"], 9)),
-        "utc_second": bits.unsigned(b, layout["utc_second"], 6).cast("int"),
+        "cog": course(b.unsigned(layout["cog"], 12)),
+        "heading": heading(b.unsigned(layout["heading"], 9)),
+        "utc_second": b.unsigned(layout["utc_second"], 6).cast("int"),
     }
 
 
-def payload_bits(payload: Column, fill_bits: Column) -> Column:
-    """The payload's bits without the fill; null if it has fewer than that."""
-    n = F.length(payload) * 6 - fill_bits
-    return F.when(n >= 0, F.substr(bits.unarmoured(payload), F.lit(1), n))
+#: Words that hold the longest message that is decoded.
+N_WORDS = 8
 
 
 def decode(sentences: DataFrame) -> DataFrame:
     """Whole sentences (payload, fill_bits) -> decode_error (`invalid`, `too_short`, `unknown_type`) or the fields."""
-    b = F.col("_bits")
-    step = computed(sentences, {"_bits": payload_bits(F.col("payload"), F.col("fill_bits"))})
-    step = computed(step, {"_n": F.length(b), "_type": bits.unsigned(b, 0, 6).cast("int"), "_part": bits.unsigned(b, 38, 2).cast("int")})
-    kind, n, part = F.col("_type"), F.col("_n"), F.col("_part")
+    step = computed(sentences, {"_n": F.length("payload") * 6 - F.col("fill_bits")})
+    n = F.col("_n")
+    step = computed(step, {f"_w{k}": w for k, w in enumerate(bits.words_of(F.col("payload"), n, N_WORDS))})
+    b = bits.Bits(tuple(F.col(f"_w{k}") for k in range(N_WORDS)), n)
+    step = computed(step, {"_type": b.checked(0, 6).cast("int"), "_part": b.checked(38, 2).cast("int")})
+    kind, part = F.col("_type"), F.col("_part")
     needed = F.lit(38)
     for t, least in NEEDED.items():
         needed = F.when(kind == t, least).otherwise(needed)
     for p, least in NEEDED_PART.items():
-        needed = F.when((kind == 24) & (n >= 40) & (part == p), least).otherwise(needed)
-    error = F.when(b.isNull(), "invalid").when(n < 38, "too_short").when((kind == 0) | (kind > 27), "unknown_type").when(n < needed, "too_short")
+        needed = F.when((kind == 24) & (part == p), least).otherwise(needed)
+    error = (
+        F.when(F.col("payload").isNull() | F.coalesce(n < 0, F.lit(True)), "invalid").when(n < 38, "too_short")
+        .when((kind == 0) | (kind > 27), "unknown_type").when(n < needed, "too_short")
+    )
     step = computed(step, {"decode_error": error})
     is_a, is_b = kind.isin(*CLASS_A), kind.isin(*CLASS_B)
     a, c = _report(b, POSITION_A), _report(b, POSITION_B)
     out = {name: F.when(is_a, a[name]).when(is_b, c[name]) for name in a}
     part_a, part_b = (kind == 24) & (part == 0), (kind == 24) & (part == 1)
-    to_end = F.least(F.lit(120), F.floor((n - 302) / 6) * 6)
     nothing = F.when((kind == 24), F.lit(""))  # parts 2 and 3 are empty records
     out |= {
         "type": kind,
-        "mmsi": bits.unsigned(b, 8, 30),
-        "nav_status": F.when(is_a, bits.unsigned(b, 38, 4).cast("int")),
-        "rot": F.when(is_a, rate_of_turn(bits.signed(b, 42, 8))),
-        "imo": F.when(kind == 5, F.nullif(bits.unsigned(b, 40, 30), F.lit(0).cast("long"))),
-        "callsign": F.when(kind == 5, bits.text(b, 70, 42)).when(part_b, bits.text(b, 90, 42)).otherwise(nothing),
-        "name": F.when(kind == 5, bits.text(b, 112, 120)).when(kind == 19, bits.text(b, 143, 120)).when(part_a, bits.text(b, 40, 120)).otherwise(nothing),
-        "ship_type": F.when(kind == 5, bits.unsigned(b, 232, 8)).when(kind == 19, bits.unsigned(b, 263, 8)).when(part_b, bits.unsigned(b, 40, 8)).when(kind == 24, 0).cast("int"),
+        "mmsi": b.checked(8, 30),
+        "nav_status": F.when(is_a, b.unsigned(38, 4).cast("int")),
+        "rot": F.when(is_a, rate_of_turn(b.signed(42, 8))),
+        "imo": F.when(kind == 5, F.nullif(b.unsigned(40, 30), F.lit(0).cast("long"))),
+        "callsign": F.when(kind == 5, b.text(70, 7)).when(part_b, b.text(90, 7)).otherwise(nothing),
+        "name": F.when(kind == 5, b.text(112, 20)).when(kind == 19, b.text(143, 20)).when(part_a, b.text(40, 20)).otherwise(nothing),
+        "ship_type": F.when(kind == 5, b.unsigned(232, 8)).when(kind == 19, b.unsigned(263, 8)).when(part_b, b.unsigned(40, 8)).when(kind == 24, 0).cast("int"),
         "dims": F.when(kind == 5, dimensions(b, 240)).when(kind == 19, dimensions(b, 271)).when(part_b, dimensions(b, 132)),
-        "draught_m": F.when(kind == 5, F.nullif(bits.unsigned(b, 294, 8), F.lit(0).cast("long")) / 10.0),
-        "destination": F.when(kind == 5, F.when(to_end > 0, bits.text(b, 302, to_end)).otherwise("")),
+        "draught_m": F.when(kind == 5, F.nullif(b.unsigned(294, 8), F.lit(0).cast("long")) / 10.0),
+        "destination": F.when(kind == 5, b.text(302, 20, F.floor((n - 302) / 6))),
         "part": F.when(kind == 24, part),
     }
     good = F.col("decode_error").isNull()
@@ -149,16 +151,22 @@ def as_json(messages: DataFrame) -> DataFrame:
 def statistics(parsed: DataFrame, decoded: DataFrame) -> DataFrame:
     """(counter, n): lines, sentences_ok, messages, vessels, and one counter per error and per type that occurs.
 
-    Two aggregations of a few groups each; `decoded` are the whole sentences that reassembly lets through.
+    Lines, and the whole sentences that reassembly lets through (`decoded`), are each read once and aggregated before
+    they are shuffled; vessels are counted as the groups of an aggregation by vessel.
     """
     by_error = parsed.groupBy("error").agg(F.count("*").alias("n"))
-    lines = by_error.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("error").isNull(), F.col("n")).otherwise(0)).alias("ok"))
-    named = by_error.filter("error IS NOT NULL").select(F.concat(F.lit("parse_error_"), "error").alias("counter"), "n")
-    by_type = decoded.groupBy("type", "decode_error").agg(F.count("*").alias("n"))
-    types = by_type.filter("type IS NOT NULL").select(F.concat(F.lit("type_"), F.col("type").cast("string")).alias("counter"), "n")
-    failed = by_type.filter("decode_error IS NOT NULL").groupBy("decode_error").agg(F.sum("n").alias("n"))
-    failed = failed.select(F.concat(F.lit("decode_"), "decode_error").alias("counter"), "n")
-    whole = lines.select(F.explode(F.create_map(F.lit("lines"), F.col("n"), F.lit("sentences_ok"), F.col("ok"))).alias("counter", "n"))
-    good = decoded.filter("type IS NOT NULL").agg(F.count("*").alias("m"), F.countDistinct("mmsi").alias("v"))
-    good = good.select(F.explode(F.create_map(F.lit("messages"), F.col("m"), F.lit("vessels"), F.col("v"))).alias("counter", "n"))
-    return whole.unionByName(named).unionByName(failed).unionByName(types).unionByName(good)
+    named = F.when(F.col("error").isNull(), "sentences_ok").otherwise(F.concat(F.lit("parse_error_"), F.col("error")))
+    lines = by_error.select(F.inline(_counts(F.lit("lines"), named)))
+    seen = decoded.groupBy("mmsi", "type", "decode_error").agg(F.count("*").alias("n"))
+    by_vessel = seen.groupBy("mmsi").agg(F.collect_list(F.struct("type", "decode_error", "n")).alias("kinds"))
+    failed, kind = F.col("decode_error"), F.concat(F.lit("type_"), F.col("type").cast("string"))
+    counters = _counts(F.when(failed.isNull(), "messages"), F.when(failed.isNull(), kind).otherwise(F.concat(F.lit("decode_"), failed)))
+    each = by_vessel.select("mmsi", F.inline("kinds")).select(F.inline(counters))
+    vessels = by_vessel.filter("mmsi IS NOT NULL").select(F.lit("vessels").alias("counter"), F.lit(1).cast("long").alias("n"))
+    every = lines.unionByName(each).unionByName(vessels).filter("counter IS NOT NULL")
+    none = decoded.sparkSession.createDataFrame([(c, 0) for c in ("lines", "sentences_ok", "messages", "vessels")], "counter string, n long")
+    return every.unionByName(none).groupBy("counter").agg(F.sum("n").alias("n"))
+
+
+def _counts(*counters: Column) -> Column:
+    return F.array(*(F.struct(c.alias("counter"), F.col("n").alias("n")) for c in counters))

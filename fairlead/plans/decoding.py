@@ -10,7 +10,7 @@ from fairlead.operators import fixes as fix_readers
 from fairlead.operators import messages, nmea, reassembly
 from fairlead.plans.traffic import rounded
 from fairlead.sources import encode, readers, recorder, replay
-from fairlead.sources.tables import FIXES_SQL, fixes
+from fairlead.sources.tables import FIXES_SQL, T0, fixes
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,15 @@ def d6_position_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, {"lat": 6, "lon": 6})
 
 
+def d6_other_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class A reports with a rate of turn (3), class B reports with static data (19), parts A and B of static data (24)."""
+    parsed = nmea.parse(encode.other_lines(fixes(spark, sf_dir)))
+    found = messages.decode(reassembly.reassemble(parsed))
+    names = ("seq", "type", "mmsi", "rot", "lat", "lon", "sog", "cog", "name", "ship_type", "callsign", "part")
+    sizes = (F.col(f"dims.{n}").alias(n) for n in ("to_bow", "to_stern", "to_port", "to_starboard"))
+    return rounded(found.select(*names, *sizes), {"rot": 6, "lat": 6, "lon": 6})
+
+
 def d7_voyage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = nmea.parse(encode.voyage_lines(fixes(spark, sf_dir)))
     found = messages.decode(reassembly.reassemble(parsed))
@@ -81,6 +90,24 @@ def k2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.statistics(parsed, messages.decode(reassembly.reassemble(parsed)))
 
 
+def k3_fix_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fix as JSON, read back; and whether a missing speed is written as null."""
+    made = recorder.fix_json(fixes(spark, sf_dir))
+    back = F.from_json("json", "mmsi long, t double, lat double, lon double, sog double, cog double")
+    found = made.select("seq", back.alias("r"), F.col("json").contains('"sog":null').alias("null_written")).select("seq", "r.*", "null_written")
+    return rounded(found, {"lat": 6, "lon": 6})
+
+
+def s9_tag_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time in each line's tag block, without parsing the sentence."""
+    return encode.report_lines(fixes(spark, sf_dir)).select("seq", nmea.tag_time(F.col("line")).alias("t"))
+
+
+def s11_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of one hour in a box."""
+    return readers.slice_of_area(fixes(spark, sf_dir), T0 + 600.0, 55.4, 12.4, 55.9, 12.9).select("seq", "mmsi", "t")
+
+
 def k6_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly file of each report and its line's tag block."""
     received = F.col("t").cast("long")
@@ -131,6 +158,12 @@ ORACLES = {
     "n3_parse_errors": f"WITH {FIXES_SQL} SELECT (['empty', 'missing_start', 'missing_checksum', 'bad_checksum', 'bad_tag_block', 'wrong_field_count', 'unsupported_sentence', 'bad_fragment_fields', 'bad_fill_bits', 'bad_payload_char', 'ok', 'ok'])[1 + seq % 12] AS outcome, count(*) AS n FROM fixes GROUP BY 1",
     "d6_position_reports": f"""WITH {FIXES_SQL} SELECT seq, CASE WHEN seq % 2 = 0 THEN 1 ELSE 18 END AS type, mmsi, round(round(lat * 600000) / 600000, 6) AS lat, round(round(lon * 600000) / 600000, 6) AS lon,
         round(sog * 10) / 10 AS sog, round(cog * 10) / 10 AS cog, CAST(floor(cog) AS INTEGER) AS heading, CAST(CAST(t AS BIGINT) % 60 AS INTEGER) AS utc_second, true AS accuracy FROM fixes""",
+    "d6_other_reports": f"""WITH {FIXES_SQL}, m AS (SELECT *, seq % 4 AS k, mmsi - 219000000 AS u, seq % 11 <> 0 AS placed, seq % 256 - 128 AS turn FROM fixes)
+      SELECT seq, CAST((ARRAY[3, 19, 24, 24])[1 + k] AS INTEGER) AS type, mmsi, CASE WHEN k = 0 AND turn <> -128 AND abs(turn) <> 127 THEN round(sign(turn) * pow(turn / 4.733::DOUBLE, 2), 6) END AS rot,
+        CASE WHEN k < 2 AND placed THEN round(round(lat * 600000) / 600000, 6) END AS lat, CASE WHEN k < 2 AND placed THEN round(round(lon * 600000) / 600000, 6) END AS lon,
+        CASE WHEN k < 2 THEN round(sog * 10) / 10 END AS sog, CASE WHEN k < 2 THEN round(cog * 10) / 10 END AS cog, CASE k WHEN 0 THEN NULL WHEN 3 THEN '' ELSE 'SHIP ' || u END AS name,
+        CAST(CASE k WHEN 0 THEN NULL WHEN 2 THEN 0 ELSE u % 100 END AS INTEGER) AS ship_type, CASE k WHEN 2 THEN '' WHEN 3 THEN 'K' || u END AS callsign, CAST(CASE WHEN k > 1 THEN k - 2 END AS INTEGER) AS part,
+        CAST(CASE WHEN k IN (1, 3) THEN u % 500 END AS INTEGER) AS to_bow, CAST(CASE WHEN k IN (1, 3) THEN 3 END AS INTEGER) AS to_stern, CAST(CASE WHEN k IN (1, 3) THEN 1 END AS INTEGER) AS to_port, CAST(CASE WHEN k IN (1, 3) THEN 2 END AS INTEGER) AS to_starboard FROM m""",
     "d7_voyage_reports": f"""WITH {FIXES_SQL}, v AS (SELECT DISTINCT mmsi, mmsi - 219000000 AS u FROM fixes) SELECT u * 2 + 2 AS seq, mmsi, u + 9000000 AS imo, 'C' || u AS callsign, 'VESSEL ' || u AS name,
         CAST(70 + u % 10 AS INTEGER) AS ship_type, CAST(u % 400 AS INTEGER) AS to_bow, (u % 200 + 1) / 10.0::DOUBLE AS draught_m, 'PORT ' || (u % 50) AS destination FROM v WHERE u % 10 <> 9""",
     "d7_dropped": f"WITH {FIXES_SQL} SELECT count(DISTINCT mmsi) FILTER (WHERE (mmsi - 219000000) % 10 = 9) AS fragments_dropped FROM fixes",
@@ -140,6 +173,9 @@ ORACLES = {
         || ',"lat":' || la || ',"lon":' || lo || ',"sog":' || s || ',"cog":' || c || ',"heading":' || h || CASE WHEN seq % 2 = 0 THEN ',"rot":null' ELSE '' END || '}}' AS json FROM m""",
     "k2_statistics": f"""WITH {FIXES_SQL} SELECT 'lines' AS counter, count(*) AS n FROM fixes UNION ALL SELECT 'sentences_ok', count(*) FROM fixes UNION ALL SELECT 'messages', count(*) FROM fixes
         UNION ALL SELECT 'vessels', count(DISTINCT mmsi) FROM fixes UNION ALL SELECT 'type_' || CASE WHEN seq % 2 = 0 THEN 1 ELSE 18 END, count(*) FROM fixes GROUP BY 1""",
+    "k3_fix_json": f"WITH {FIXES_SQL} SELECT seq, mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, sog, cog, sog IS NULL AS null_written FROM fixes",
+    "s9_tag_times": f"WITH {FIXES_SQL} SELECT seq, CAST(t AS BIGINT) AS t FROM fixes",
+    "s11_slice": f"WITH {FIXES_SQL} SELECT seq, mmsi, t FROM fixes WHERE t >= {T0 + 600.0} AND t < {T0 + 4200.0} AND lat BETWEEN 55.4 AND 55.9 AND lon BETWEEN 12.4 AND 12.9",
     "k6_recorded": f"""WITH {FIXES_SQL}, b AS (SELECT seq, t, 'c:' || CAST(t AS BIGINT) AS s FROM fixes) SELECT seq, 'ais-' || strftime(make_timestamp(CAST(t AS BIGINT) * 1000000), '%Y%m%d-%H') || '.nmea' AS file,
         chr(92) || s || '*' || upper(lpad(to_hex({_XOR.format("s")}), 2, '0')) || chr(92) || '!X' AS line FROM b""",
     "n7_csv_fixes": f"""WITH {FIXES_SQL} SELECT seq, mmsi, CASE WHEN seq % 50 <> 49 THEN t END AS t, CAST(printf('%.6f', lat) AS DOUBLE) AS lat, CAST(printf('%.6f', lon) AS DOUBLE) AS lon,
@@ -160,7 +196,7 @@ ORACLES = {
 QUERIES = {
     "n1_checksums": n1_checksums, "n2_tags": n2_tags, "n3_parse_errors": n3_parse_errors, "n6_civil_days": n6_civil_days,
     "n7_csv_fixes": n7_csv_fixes, "n9_json_fixes": n9_json_fixes, "n11_message_fixes": n11_message_fixes,
-    "d6_position_reports": d6_position_reports, "d7_voyage_reports": d7_voyage_reports, "d7_dropped": d7_dropped,
-    "k1_message_json": k1_message_json, "k2_statistics": k2_statistics, "k6_recorded": k6_recorded,
+    "d6_position_reports": d6_position_reports, "d6_other_reports": d6_other_reports, "d7_voyage_reports": d7_voyage_reports, "d7_dropped": d7_dropped,
+    "k1_message_json": k1_message_json, "k2_statistics": k2_statistics, "k3_fix_json": k3_fix_json, "k6_recorded": k6_recorded, "s9_tag_times": s9_tag_times, "s11_slice": s11_slice,
     "s6_framed": s6_framed, "s8_replay": s8_replay, "s10_json_times": s10_json_times,
 }

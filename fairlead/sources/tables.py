@@ -32,10 +32,17 @@ FIXES_SQL = "fixes AS (" + _BODY.format(
 ) + ")"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as the session has cores: a file of one row group is read by one task,
+    and all that follows without a shuffle would be done by it too. Tables of many files are left as they are."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, mmsi, t, lat, lon, sog, cog)."""
     micros = "unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(TIMESTAMP '2024-01-01 00:00:00')"
     return spark.sql(
         _BODY.format(t0=T0, div="div", micros=micros, table="{events}"),
-        events=spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type"),
+        events=spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")),
     )

@@ -33,10 +33,7 @@ def r5_track_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encounters of the filtered tracks instead of the last reports."""
     seen = fixes(spark, sf_dir)
     accepted = tracker.track(seen).filter("outcome IN ('started', 'updated', 'restarted')")
-    found = risk.as_of_minutes(accepted, ["lat", "lon", "v_east", "v_north"])
-    found = found.join(F.broadcast(risk.last_minute(seen)), F.col("minute") <= F.col("last_minute"))
-    lat, lon = geo.moved(F.col("lat"), F.col("lon"), F.col("v_east"), F.col("v_north"), F.col("minute") - F.col("t"))
-    motions = found.select("minute", "mmsi", lat.alias("lat"), lon.alias("lon"), "v_east", "v_north")
+    motions = risk.tracked(accepted).join(F.broadcast(risk.last_minute(seen)), F.col("minute") <= F.col("last_minute")).drop("last_minute")
     return rounded(risk.encounters(risk.at_risk(motions)), _ROUND)
 
 
@@ -90,8 +87,8 @@ _CANDIDATES = """
 d AS (SELECT mmsi, t, arg_max(sog, seq) FILTER (WHERE sog IS NOT NULL) AS sog FROM fixes WHERE mmsi // 1000000 <> 111 GROUP BY mmsi, t),
 w AS (SELECT *, lag(t) OVER p AS l1, lag(t, 3) OVER p AS l3, coalesce(last_value(sog IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ls
       FROM d WINDOW p AS (PARTITION BY mmsi ORDER BY t)),
-c AS (SELECT mmsi, t, l1, t - l1 AS value, CASE WHEN ls < 2 THEN 'slow' WHEN l3 IS NULL OR l1 - l3 > 600 THEN 'not_regular' ELSE 'candidate' END AS verdict FROM w WHERE t - l1 BETWEEN 600 AND 10800)"""
-_JUDGED = f"""{_CANDIDATES},
+c AS (SELECT mmsi, t, l1, t - l1 AS value, CASE WHEN ls < 2 THEN 'slow' WHEN l3 IS NULL OR l1 - l3 > 600 THEN 'not_regular' ELSE 'candidate' END AS verdict FROM w WHERE t - l1 >= 600 AND floor(t / 600) * 600 - l1 <= 10800)"""
+JUDGED_SQL = f"""{_CANDIDATES},
 h AS (SELECT CAST(floor(t / 60) AS BIGINT) AS m, count(*) AS n FROM fixes GROUP BY 1),
 cal AS (SELECT m, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT min(m) FROM h), (SELECT max(m) FROM h) + 1)) AS m) LEFT JOIN h USING (m)),
 k AS (SELECT mmsi, t, value, CAST(floor(l1 / 60) AS BIGINT) AS f, CAST(floor(t / 60) AS BIGINT) AS l FROM c WHERE verdict = 'candidate'),
@@ -100,6 +97,41 @@ s AS (SELECT *, CASE WHEN coalesce(len(before), 0) < 5 THEN 0 ELSE (SELECT count
 j AS (SELECT mmsi, t, value, CAST(down AS BIGINT) AS down, (SELECT count(*) FROM k WHERE k.t >= s.t - 120 AND k.t < s.t + 120) - 1 AS others FROM s),
 judged AS (SELECT *, CASE WHEN value - 60 * down < 600 THEN 'outage' WHEN others >= 3 THEN 'coverage_returned' ELSE 'gap' END AS judged FROM j)"""
 
+_FAR = lambda a, b: geo.haversine_sql(f"{a}lat", f"{a}lon", f"{b}lat", f"{b}lon")
+_REACH = lambda a: f"(CASE WHEN {a}sog IS NOT NULL AND fsog IS NOT NULL THEN least(50, greatest({a}sog, fsog) + 15) ELSE 50 END * {geo.KNOT_MS} * abs(ft - {a}t) + 500)"
+_KNOTS = lambda d, a, b: f"{d} / greatest(abs({b} - {a}), 1) / {geo.KNOT_MS}"
+_PLACE = ("t", "lat", "lon", "sog")
+#: seen(...): where each vessel is taken to be, as a recursion over its n-th report: m (the leading place), b (the one
+#: before) and r (a rival); every level of subqueries adds what the next needs.
+SEEN_SQL = f"""
+heard AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t, seq) AS k FROM fixes WHERE mmsi // 1000000 <> 111),
+seen AS (
+  SELECT k, mmsi, t AS ft, lat AS flat, lon AS flon, t AS last_t, t AS mt, lat AS mlat, lon AS mlon, sog AS msog, CAST(NULL AS DOUBLE) AS bt, CAST(NULL AS DOUBLE) AS blat, CAST(NULL AS DOUBLE) AS blon, CAST(NULL AS DOUBLE) AS bsog,
+    CAST(NULL AS DOUBLE) AS rt, CAST(NULL AS DOUBLE) AS rlat, CAST(NULL AS DOUBLE) AS rlon, CAST(NULL AS DOUBLE) AS rsog, CAST(NULL AS DOUBLE) AS since, 0 AS times, false AS told, CAST(NULL AS DOUBLE) AS gap_m, false AS relocated,
+    CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS DOUBLE) AS jt, CAST(NULL AS DOUBLE) AS jlat, CAST(NULL AS DOUBLE) AS jlon, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS distance_m FROM heard WHERE k = 1
+  UNION ALL
+  SELECT k, mmsi, ft, flat, flon, greatest(last_t, ft), nat, nalat, nalon, nasog, nbt, nblat, nblon, nbsog, nrt, nrlat, nrlon, nrsog, CASE WHEN verdict = 'strays' THEN ft ELSE since END, ntimes, told_now, gap_m, relocated,
+    CASE WHEN verdict = 'returns' OR verdict = 'strays' THEN 'position_jump' WHEN told_now AND NOT told_before THEN 'identity_conflict' END,
+    CASE WHEN verdict = 'returns' THEN mt ELSE ft END, CASE WHEN verdict = 'returns' THEN mlat ELSE flat END, CASE WHEN verdict = 'returns' THEN mlon ELSE flon END,
+    CASE WHEN verdict = 'returns' THEN {_KNOTS("ba", "bt", "mt")} WHEN verdict = 'strays' THEN {_KNOTS("af", "mt", "ft")} ELSE af END, CASE WHEN verdict = 'returns' THEN ba WHEN verdict = 'strays' THEN af ELSE 0 END
+  FROM (SELECT *, CASE WHEN verdict = 'strays' THEN false ELSE told OR (verdict = 'corroborates' AND ntimes >= 3 AND mt > since) END AS told_now, told AND verdict <> 'strays' AS told_before
+        FROM (SELECT *, CASE WHEN verdict = 'strays' THEN 1 WHEN verdict = 'corroborates' AND ft > rt THEN times + 1 ELSE times END AS ntimes,
+                CASE WHEN verdict = 'follows' THEN greatest(mt, ft) WHEN verdict = 'returns' THEN greatest(bt, ft) ELSE mt END AS nat, CASE WHEN verdict IN ('follows', 'returns') THEN flat ELSE mlat END AS nalat,
+                CASE WHEN verdict IN ('follows', 'returns') THEN flon ELSE mlon END AS nalon, CASE WHEN verdict = 'follows' THEN coalesce(fsog, msog) WHEN verdict = 'returns' THEN coalesce(fsog, bsog) ELSE msog END AS nasog,
+                {", ".join(f"CASE WHEN verdict = 'follows' AND ft > mt THEN m{c} WHEN verdict = 'returns' AND ft <= bt THEN NULL ELSE b{c} END AS nb{c}" for c in _PLACE)},
+                CASE WHEN verdict = 'strays' THEN ft WHEN verdict = 'corroborates' THEN greatest(rt, ft) ELSE rt END AS nrt, CASE WHEN verdict IN ('strays', 'corroborates') THEN flat ELSE rlat END AS nrlat,
+                CASE WHEN verdict IN ('strays', 'corroborates') THEN flon ELSE rlon END AS nrlon, CASE WHEN verdict = 'strays' THEN fsog WHEN verdict = 'corroborates' THEN coalesce(fsog, rsog) ELSE rsog END AS nrsog
+              FROM (SELECT *, CASE WHEN af <= {_REACH("m")} THEN 'follows' WHEN rt IS NOT NULL AND {_FAR("r", "f")} <= {_REACH("r")} THEN 'corroborates'
+                        WHEN bt IS NOT NULL AND bf <= {_REACH("b")} AND bf < ba / 2 THEN 'returns' ELSE 'strays' END AS verdict
+                    FROM (SELECT *, {_FAR("m", "f")} AS af, {_FAR("b", "f")} AS bf, {_FAR("b", "m")} AS ba
+                          FROM (SELECT k, mmsi, ft, flat, flon, fsog, last_t, since, times, told, gap_m, relocated, {", ".join(f"CASE WHEN relocated THEN r{c} ELSE m{c} END AS m{c}, CASE WHEN NOT relocated THEN b{c} END AS b{c}, CASE WHEN NOT relocated AND NOT lapsed THEN r{c} END AS r{c}" for c in _PLACE)}
+                                FROM (SELECT *, lapsed IS FALSE AND rt IS NOT NULL AND ft - mt > 600 AS relocated
+                                      FROM (SELECT f.k, f.mmsi, f.t AS ft, f.lat AS flat, f.lon AS flon, f.sog AS fsog, s.last_t, s.mt, s.mlat, s.mlon, s.msog, s.bt, s.blat, s.blon, s.bsog, s.rt, s.rlat, s.rlon, s.rsog, s.since, s.times, s.told,
+                                              CASE WHEN f.t - s.last_t >= 600 THEN {geo.haversine_sql("s.mlat", "s.mlon", "f.lat", "f.lon")} END AS gap_m, coalesce(f.t - s.rt > 600, false) AS lapsed
+                                            FROM seen s JOIN heard f ON f.mmsi = s.mmsi AND f.k = s.k + 1)))))))),
+gaps AS (SELECT j.mmsi, j.t, j.value, j.judged, s.flat AS lat, s.flon AS lon, s.gap_m AS distance_m FROM judged j JOIN seen s ON s.mmsi = j.mmsi AND s.ft = j.t AND s.gap_m IS NOT NULL)"""
+SEEN_WITH = f"WITH RECURSIVE {FIXES_SQL}, {JUDGED_SQL}, {SEEN_SQL}"
+
 _M = geo.M_PER_DEG
 _WRAP = "((({0}) + 540.0::DOUBLE) % 360.0::DOUBLE - 180.0::DOUBLE)"
 #: tracked(...): the tracker as a recursion over each vessel's n-th fix; every level of subqueries adds what the next needs.
@@ -136,7 +168,7 @@ tracked AS (
                                       FROM tracked s JOIN numbered f ON f.mmsi = s.mmsi AND f.k = s.k + 1))))))),
 placed AS (SELECT *, lat0 + n / {_M} AS lat, {_WRAP.format(f"lon0 + e / ({_M} * cos(radians(lat0)))")} AS lon, sqrt(p) AS sigma_m FROM tracked)"""
 TRACKED_WITH = f"WITH RECURSIVE {FIXES_SQL}, {TRACKED_SQL}"
-_TRACK_MOTIONS = f"""
+TRACK_MOTIONS_SQL = f"""
 accepted AS (SELECT *, lead(moment) OVER (PARTITION BY mmsi ORDER BY moment, seq) AS next_t, (floor(moment / 60) + 1) * 60 AS minute FROM placed WHERE outcome IN ('started', 'updated', 'restarted')),
 motions AS (SELECT minute, mmsi, lat + vn * (minute - moment) / {_M} AS lat, lon + ve * (minute - moment) / ({_M} * cos(radians(lat))) AS lon, ve AS v_east, vn AS v_north FROM accepted
             WHERE (next_t IS NULL OR next_t >= minute) AND minute - moment <= 60 AND minute <= (SELECT floor(max(t) / 60) * 60 FROM fixes))"""
@@ -154,13 +186,22 @@ ORACLES = {
         SELECT mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, round(ve, 4) + 0 AS v_east, round(vn, 4) + 0 AS v_north, round(sigma_m, 3) AS sigma_m, CAST(updates AS BIGINT) AS updates FROM last WHERE back = 1""",
     "t9_statistics": f"""{TRACKED_WITH} SELECT 'fixes' AS counter, count(*) AS n FROM placed UNION ALL SELECT 'vessels', count(DISTINCT mmsi) FROM placed
         UNION ALL SELECT o, count(*) FILTER (WHERE outcome = o) FROM placed, (VALUES {", ".join(f"('{o}')" for o in tracker.OUTCOMES)}) w(o) GROUP BY o""",
-    "r5_track_encounters": f"{TRACKED_WITH}, {_TRACK_MOTIONS}, {RISKS_SQL}, {SESSIONS_SQL}",
+    "r5_track_encounters": f"{TRACKED_WITH}, {TRACK_MOTIONS_SQL}, {RISKS_SQL}, {SESSIONS_SQL}",
     "a1_impossible_speeds": f"WITH {FIXES_SQL} SELECT 'impossible_speed' AS kind, mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, sog AS value, 0::DOUBLE AS distance_m FROM fixes WHERE sog > 50",
     "a2_reachable": f"""WITH {FIXES_SQL}, {_PREVIOUS} SELECT seq, {_STEP} <= CASE WHEN sog IS NOT NULL AND bsog IS NOT NULL THEN least(50, greatest(sog, bsog) + 15) ELSE 50 END * {geo.KNOT_MS} * abs(t - bt) + 500 AS reachable
         FROM b WHERE bt IS NOT NULL""",
+    "a3_flags": f"""{SEEN_WITH} SELECT kind, mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, round(value, 3) AS value, round(distance_m, 3) AS distance_m FROM (
+        SELECT 'impossible_speed' AS kind, mmsi, t, lat, lon, sog AS value, 0::DOUBLE AS distance_m FROM fixes WHERE sog > 50
+        UNION ALL SELECT kind, mmsi, jt, jlat, jlon, value, distance_m FROM seen WHERE kind IS NOT NULL
+        UNION ALL SELECT 'gap', mmsi, t, lat, lon, value, distance_m FROM gaps WHERE judged = 'gap')""",
+    "a11_statistics": f"""{SEEN_WITH}, n AS (SELECT 'fixes' AS counter, count(*) AS n FROM fixes UNION ALL SELECT 'aircraft', count(*) FROM fixes WHERE mmsi // 1000000 = 111
+        UNION ALL SELECT 'vessels', count(DISTINCT mmsi) FROM heard UNION ALL SELECT 'impossible_speed', count(*) FROM fixes WHERE sog > 50 UNION ALL SELECT kind, count(*) FROM seen WHERE kind IS NOT NULL GROUP BY kind
+        UNION ALL SELECT 'relocated', count(*) FROM seen WHERE relocated UNION ALL SELECT 'gap_not_regular', count(*) FROM c WHERE verdict = 'not_regular'
+        UNION ALL SELECT CASE WHEN judged = 'gap' THEN 'gap' ELSE 'gap_' || judged END, count(*) FROM gaps GROUP BY 1)
+      SELECT counter, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest([{", ".join(f"'{c}'" for c in anomalies.COUNTERS)}]) AS counter) LEFT JOIN n USING (counter)""",
     "a6_gap_candidates": f"WITH {FIXES_SQL}, {_CANDIDATES} SELECT mmsi, t, value, verdict FROM c",
-    "a7_judged_gaps": f"WITH {FIXES_SQL}, {_JUDGED} SELECT mmsi, t, value, down, others, judged FROM judged",
+    "a7_judged_gaps": f"WITH {FIXES_SQL}, {JUDGED_SQL} SELECT mmsi, t, value, down, others, judged FROM judged",
     "a12_implied_speeds": f"WITH {FIXES_SQL}, {_PREVIOUS}, s AS (SELECT *, {_STEP} AS d FROM b WHERE bt IS NOT NULL) SELECT seq, mmsi, round(d, 3) AS distance_m, round(d / greatest(abs(t - bt), 1) / {geo.KNOT_MS}, 3) AS implied_kn FROM s",
-    "e16_summary": f"""WITH {FIXES_SQL}, {_JUDGED}, flags AS (SELECT 'impossible_speed' AS kind, mmsi, t FROM fixes WHERE sog > 50 UNION ALL SELECT 'gap', mmsi, t FROM judged WHERE judged = 'gap')
+    "e16_summary": f"""WITH {FIXES_SQL}, {JUDGED_SQL}, flags AS (SELECT 'impossible_speed' AS kind, mmsi, t FROM fixes WHERE sog > 50 UNION ALL SELECT 'gap', mmsi, t FROM judged WHERE judged = 'gap')
         SELECT kind, count(*) AS flags, count(DISTINCT mmsi) AS vessels, min(t) AS first_t, max(t) AS last_t FROM flags GROUP BY kind""",
 }

@@ -2,7 +2,7 @@
 
 Points are put on the sphere in three dimensions, so the date line and the poles are like any other place. Cells are
 cubes as wide as the chord of the radius; a row meets the rows of its own cell and of the 26 around it, each pair once,
-by spreading one side over half of the neighbours. All variants give the same pairs; `method` picks how candidates are found.
+by spreading one side over half of those neighbours that the sphere passes through. All variants give the same pairs; `method` picks how candidates are found.
 
 A cell is the key of a shuffled join, so a dense place (a port, an anchorage) is a large partition that adaptive
 execution splits. `by` columns (a minute, say) are part of the key: many snapshots are searched as one job.
@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.functions import geo
+from fairlead.functions.stages import running
 
 METHODS = ("grid", "latitude", "brute")
 
@@ -46,6 +47,9 @@ def _met(placed: DataFrame, by: list[str], axes: str, side: float) -> DataFrame:
     own = placed.select("*", *(_cell(axis, side).alias(n) for axis, n in zip(axes, names, strict=True)))
     offsets = F.array(*(F.struct(*(F.lit(d).alias(n) for n, d in zip(names, o, strict=True))) for o in half_neighbours(len(names))))
     spread = own.withColumn("o", F.explode(offsets))
+    if len(names) == 3:  # cubes that the sphere doesn't pass through hold nothing
+        middle = sum(F.pow((F.col(n) + F.col(f"o.{n}") + 0.5) * side, F.lit(2.0)) for n in names)
+        spread = spread.filter(F.abs(F.sqrt(middle) - geo.EARTH_RADIUS_M) <= 0.87 * side)
     same = F.greatest(F.lit(0), *(F.abs(F.col(f"o.{n}")) for n in names)) == 0
     right = spread.select(*by, F.col("p").alias("b"), same.alias("same"), *((F.col(n) + F.col(f"o.{n}")).alias(n) for n in names))
     met = own.withColumnRenamed("p", "a").join(right, [*by, *names])
@@ -111,5 +115,7 @@ def snapshot_of_busiest(fixes: DataFrame) -> DataFrame:
 
 
 def numbered(pairs: DataFrame) -> DataFrame:
-    """Pairs with their place in the order of (a, b), ordered by it."""
-    return pairs.withColumn("n", F.row_number().over(Window.orderBy("a.id", "b.id"))).orderBy("n")
+    """Pairs with their place in the order of (a, b), from 1 on, ordered by it; numbers are running sums over ranges."""
+    keyed = pairs.select("*", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    placed = running(keyed, ["id_a", "id_b"], {"n": F.lit(1).cast("long")})
+    return placed.select(*pairs.columns, (F.col("n") + 1).alias("n")).orderBy("n")

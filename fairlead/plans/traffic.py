@@ -35,7 +35,7 @@ def p1_ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = pairs.snapshot_of_busiest(fixes(spark, sf_dir))
-    each = [pairs.statistics(points, RADIUS_M, m, "mmsi").select("method", "pairs") for m in pairs.METHODS]
+    each = [pairs.statistics(points, RADIUS_M, m, "mmsi") for m in pairs.METHODS]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
@@ -135,6 +135,7 @@ SELECT min(minute) AS minute, max(minute) AS last_minute, count(*) AS minutes, m
   round(arg_min(range_m, minute), 3) AS range_m, round(arg_min(tcpa_s, minute), 2) AS tcpa_s, round(arg_min(dcpa_m, minute), 2) AS dcpa_m
 FROM sessions GROUP BY mmsi_a, mmsi_b, n"""
 
+_SIDE = max(1.0, geo.chord_m(RADIUS_M))
 QUERIES = {
     "p1_ordered_pairs": p1_ordered_pairs,
     "p2_pairs_brute": _pairs("brute"),
@@ -150,11 +151,15 @@ QUERIES = {
     "r6_encounters": r6_encounters,
 }
 ORACLES = {
-    "p1_ordered_pairs": f"WITH {FIXES_SQL}, {_SNAPSHOT} SELECT CAST(row_number() OVER (ORDER BY mmsi_a, mmsi_b) AS INTEGER) AS n, mmsi_a, mmsi_b FROM met",
+    "p1_ordered_pairs": f"WITH {FIXES_SQL}, {_SNAPSHOT} SELECT row_number() OVER (ORDER BY mmsi_a, mmsi_b) AS n, mmsi_a, mmsi_b FROM met",
     "p2_pairs_brute": _PAIRS_SQL,
     "p3_pairs_latitude": _PAIRS_SQL,
     "p4_pairs_grid": _PAIRS_SQL,
-    "p7_statistics": f"WITH {FIXES_SQL}, {_SNAPSHOT} SELECT method, (SELECT count(*) FROM met) AS pairs FROM (VALUES ('grid'), ('latitude'), ('brute')) v(method)",
+    "p7_statistics": f"""WITH {FIXES_SQL}, {_SNAPSHOT}, cells AS (SELECT mmsi, CAST(floor({geo.EARTH_RADIUS_M} * cos(radians(lat)) * cos(radians(lon)) / {_SIDE}) AS BIGINT) AS cx,
+        CAST(floor({geo.EARTH_RADIUS_M} * cos(radians(lat)) * sin(radians(lon)) / {_SIDE}) AS BIGINT) AS cy, CAST(floor({geo.EARTH_RADIUS_M} * sin(radians(lat)) / {_SIDE}) AS BIGINT) AS cz FROM points),
+        both_ AS (SELECT abs(a.cz - b.cz) <= 1 AS band, abs(a.cz - b.cz) <= 1 AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AS cube FROM cells a JOIN cells b ON a.mmsi < b.mmsi)
+      SELECT method, CASE method WHEN 'brute' THEN (SELECT count(*) FROM both_) WHEN 'latitude' THEN (SELECT count(*) FROM both_ WHERE band) ELSE (SELECT count(*) FROM both_ WHERE cube) END AS checks, (SELECT count(*) FROM met) AS pairs
+      FROM (VALUES ('grid'), ('latitude'), ('brute')) v(method)""",
     "p8_busiest_minute": f"WITH {FIXES_SQL}, {_SNAPSHOT} SELECT minute, vessels FROM busiest",
     "p9_last_positions": f"WITH {FIXES_SQL} SELECT mmsi, arg_max(t, seq) AS t, round(arg_max(lat, seq), 6) AS lat, round(arg_max(lon, seq), 6) AS lon FROM fixes GROUP BY mmsi",
     "g_geodesy": f"""WITH {FIXES_SQL}, v AS (SELECT *, sog * {geo.KNOT_MS} * sin(radians(cog)) AS ve, sog * {geo.KNOT_MS} * cos(radians(cog)) AS vn FROM fixes)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions import geo
+from fairlead.functions.stages import durable, running
+from fairlead.operators import risk, tracker
 
 # Edges of horizons and time steps, and the ship types taken for commercial.
 HORIZONS_S = (0, 120, 300, 600, 1200)
@@ -16,21 +21,22 @@ DEVELOPING_RANGE_M, DEVELOPING_TCPA_S = geo.NAUTICAL_MILE_M, 240.0
 ACTED_M = 0.1 * geo.NAUTICAL_MILE_M
 
 
-def quantile(values: Column, q: float) -> Column:
-    """Element floor(q (n - 1)) of the sorted values; exact, over a group that is collected."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.floor(F.lit(q) * (F.size(ordered) - 1)).cast("int"))
-
-
 def quantiles(rows: DataFrame, by: list[str], value: str, qs: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
-    """(by..., n, q50, q90, ...): exact quantiles by rank, without collecting a group: equal values are counted
-    first, and ranks are running sums."""
+    """(by..., n, q50, q90, ...): element floor(q (n - 1)) of each group's sorted values, exactly.
+
+    Equal values are counted, and ranks are running sums over ranges of the order of (by..., value), so a group, however
+    large, is many tasks' work; groups then are one row each.
+    """
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    group = Window.partitionBy(*by)
-    upto = F.sum("c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumns({"upto": upto, "n": F.sum("c").over(group)})
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value)))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *(at(q).alias(f"q{round(100 * q)}") for q in qs))
+    ranked = running(counted, [*by, value], {"below": F.col("c")})
+    groups = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.min("below").alias("first"))
+    names = {c: f"{c}_of" for c in by}
+    own = groups.withColumnsRenamed(names)
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(names[c])) for c in by))
+    met = ranked.join(own, same)
+    upto = F.col("below") + F.col("c") - F.col("first")
+    at = lambda q: F.min(F.when(upto > F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value)))
+    return met.groupBy(*by).agg(F.max("n").alias("n"), *(at(q).alias(f"q{round(100 * q)}") for q in qs))
 
 
 def truth(fixes: DataFrame) -> DataFrame:
@@ -53,7 +59,9 @@ def interpolated(reports: DataFrame, asked: DataFrame, keep: list[str], max_span
     both = known.unionByName(asked.select("mmsi", "at", nothing, *keep, F.lit(1).alias("asked")))
     order = Window.partitionBy("mmsi").orderBy("at", "asked")
     before = F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("p", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # the next report is the last one of the reverse order: a frame that grows is kept up, one that shrinks is read anew
+    back = Window.partitionBy("mmsi").orderBy(F.desc("at"), F.desc("asked"))
+    after = F.last("p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     met = both.withColumns({"b": before, "a": after}).filter("asked = 1")
     share = (F.col("at") - F.col("b.t")) / (F.col("a.t") - F.col("b.t"))
     line = lambda c: F.col(f"b.{c}") + share * (F.col(f"a.{c}") - F.col(f"b.{c}"))
@@ -61,7 +69,7 @@ def interpolated(reports: DataFrame, asked: DataFrame, keep: list[str], max_span
     return met.select("mmsi", "at", *keep, value("lat").alias("lat"), value("lon").alias("lon"))
 
 
-def actual_closest(cases: DataFrame, reports: DataFrame) -> DataFrame:
+def actual_closest(cases: DataFrame, reports: DataFrame, max_span_s: float = MAX_SPAN_S) -> DataFrame:
     """(case, closest_m, closest_t, covered) for cases (case, mmsi_a, mmsi_b, t0, t1).
 
     The least distance over both ends and every time in between at which either vessel reported; closest_m is null
@@ -76,7 +84,7 @@ def actual_closest(cases: DataFrame, reports: DataFrame) -> DataFrame:
     times = ends.unionByName(inside).distinct()
     asked = times.join(cases.select("case", "mmsi_a", "mmsi_b"), "case")
     each = asked.select("case", "at", F.explode(F.array("mmsi_a", "mmsi_b")).alias("mmsi"), "mmsi_a")
-    placed = interpolated(reports, each.select("mmsi", "at", "case", "mmsi_a"), ["case", "mmsi_a"])
+    placed = interpolated(reports, each.select("mmsi", "at", "case", "mmsi_a"), ["case", "mmsi_a"], max_span_s)
     side = lambda own, c: F.max(F.when((F.col("mmsi") == F.col("mmsi_a")) == own, F.col(c)))
     met = placed.groupBy("case", "at").agg(
         side(True, "lat").alias("lat_a"), side(True, "lon").alias("lon_a"), side(False, "lat").alias("lat_b"), side(False, "lon").alias("lon_b")
@@ -101,10 +109,10 @@ def held_course(cases: DataFrame, reports: DataFrame, fresh_s: float = 60.0) ->
     )
 
 
-def contributions(cases: DataFrame, reports: DataFrame) -> DataFrame:
+def contributions(cases: DataFrame, reports: DataFrame, max_span_s: float = MAX_SPAN_S) -> DataFrame:
     """(case, mmsi, contribution_m): how much the vessel's own manoeuvre opened the closest approach: the actual least
     distance less the least distance had it held its course, over the times the actual one was taken at."""
-    actual = actual_closest(cases, reports).filter("covered")
+    actual = actual_closest(cases, reports, max_span_s).filter("covered")
     held = held_course(cases, reports)
     sides = cases.join(held, "case").withColumn("other", F.when(F.col("mmsi") == F.col("mmsi_a"), F.col("mmsi_b")).otherwise(F.col("mmsi_a")))
     bucket = 600
@@ -116,7 +124,7 @@ def contributions(cases: DataFrame, reports: DataFrame) -> DataFrame:
     lat, lon = geo.moved(F.col("lat"), F.col("lon"), F.col("v_east"), F.col("v_north"), F.col("at") - F.col("t"))
     own = times.select("case", "mmsi", F.col("other"), "at", lat.alias("own_lat"), lon.alias("own_lon"))
     asked = own.select(F.col("other").alias("mmsi"), "at", "case", F.col("mmsi").alias("self"), "own_lat", "own_lon")
-    met = interpolated(reports, asked, ["case", "self", "own_lat", "own_lon"])
+    met = interpolated(reports, asked, ["case", "self", "own_lat", "own_lon"], max_span_s)
     d = geo.haversine_m(F.col("own_lat"), F.col("own_lon"), F.col("lat"), F.col("lon"))
     least = met.groupBy("case", F.col("self").alias("mmsi")).agg(F.when(F.bool_and(d.isNotNull()), F.min(d)).alias("held_m"))
     return least.join(actual, "case").select("case", "mmsi", (F.col("closest_m") - F.col("held_m")).alias("contribution_m"))
@@ -137,50 +145,66 @@ def cases_of(risks: DataFrame, max_tcpa_s: float = 1200.0) -> DataFrame:
     return risks.select(number.alias("case"), "mmsi_a", "mmsi_b", F.col("minute").alias("t0"), end.alias("t1"), "tcpa_s", "dcpa_m", "range_m", "type", "role_a", "role_b")
 
 
-def approach_errors(risks: DataFrame, reports: DataFrame) -> DataFrame:
-    """(horizon, n, distance_q50, distance_q90, time_q50, time_q90) of predicted against actual closest approaches."""
+def at_risk_by_tracks(tracks: DataFrame, reported: DataFrame) -> DataFrame:
+    """Pairs at risk by their tracks, of the vessels that have both a track and a report in a minute (motions)."""
+    return risk.at_risk(tracks.join(reported.select("minute", "mmsi"), ["minute", "mmsi"], "left_semi"))
+
+
+def approach_errors(risks: DataFrame, reported: DataFrame, reports: DataFrame, max_span_s: float = MAX_SPAN_S) -> DataFrame:
+    """(predictor, horizon, n, distance_q50, distance_q90, time_q50, time_q90) of predicted against actual closest
+    approaches of pairs at risk by their tracks: as the tracks say, and as dead reckoning from the last reports
+    (`reported` motions) says of the same pairs. A predictor that sees a pair draw apart says it is closest now.
+    """
     cases = cases_of(risks)
-    met = cases.join(actual_closest(cases, reports).filter("covered"), "case")
-    errors = met.select(
-        horizon(F.col("tcpa_s")).alias("horizon"), F.abs(F.col("dcpa_m") - F.col("closest_m")).alias("distance"),
-        F.abs(F.col("t0") + F.col("tcpa_s") - F.col("closest_t")).alias("time"),
-    ).filter("horizon IS NOT NULL")
-    parts = [quantiles(errors, ["horizon"], v).select("horizon", F.col("n").alias(f"n_{v}"), F.col("q50").alias(f"{v}_q50"), F.col("q90").alias(f"{v}_q90")) for v in ("distance", "time")]
-    return parts[0].join(parts[1], "horizon").select("horizon", F.col("n_distance").alias("n"), "distance_q50", "distance_q90", "time_q50", "time_q90")
+    met = cases.join(actual_closest(cases, reports, max_span_s).filter("covered"), "case")
+    names = ("mmsi", "lat", "lon", "v_east", "v_north")
+    side = lambda s: reported.select(F.col("minute").alias("t0"), F.col("mmsi").alias(f"mmsi_{s}"), F.struct(*names).alias(s))
+    both = met.join(side("a"), ["t0", "mmsi_a"]).join(side("b"), ["t0", "mmsi_b"])
+    reckoned = geo.closest_approach(geo.Vehicle.of("a"), geo.Vehicle.of("b"))
+    says = F.array(
+        F.struct(F.lit("track").alias("predictor"), F.col("dcpa_m").alias("d"), F.col("tcpa_s").alias("s")),
+        F.struct(F.lit("dead_reckoning").alias("predictor"), reckoned["dcpa_m"].alias("d"), F.greatest(reckoned["tcpa_s"], F.lit(0.0)).alias("s")),
+    )
+    each = both.select(horizon(F.col("tcpa_s")).alias("horizon"), "closest_m", (F.col("closest_t") - F.col("t0")).alias("after_s"), F.inline(says))
+    errors = durable(each.select(
+        "predictor", "horizon", F.abs(F.col("d") - F.col("closest_m")).alias("distance"), F.abs(F.col("s") - F.col("after_s")).alias("time")
+    ).filter("horizon IS NOT NULL"))
+    by = ["predictor", "horizon"]
+    parts = [quantiles(errors, by, v).select(*by, F.col("n").alias(f"n_{v}"), F.col("q50").alias(f"{v}_q50"), F.col("q90").alias(f"{v}_q90")) for v in ("distance", "time")]
+    return parts[0].join(parts[1], by).select(*by, F.col("n_distance").alias("n"), "distance_q50", "distance_q90", "time_q50", "time_q90")
 
 
-def behaviour(encounters: DataFrame, reports: DataFrame) -> DataFrame:
+def behaviour(encounters: DataFrame, reports: DataFrame, max_span_s: float = MAX_SPAN_S) -> DataFrame:
     """(type, role, n, contribution_q50, acted, more): what each role did in encounters that were still developing.
 
     acted counts contributions of ACTED_M or more; more counts encounters where this side contributed more.
     """
     developing = encounters.filter((F.col("range_m") >= DEVELOPING_RANGE_M) & (F.col("tcpa_s") >= DEVELOPING_TCPA_S))
-    cases = cases_of(developing)
-    given = contributions(cases, reports).filter("contribution_m IS NOT NULL")
+    cases = durable(cases_of(developing))
+    given = contributions(cases, reports, max_span_s).filter("contribution_m IS NOT NULL")
     rows = given.join(cases, "case").withColumn("role", F.when(F.col("mmsi") == F.col("mmsi_a"), F.col("role_a")).otherwise(F.col("role_b")))
-    rival = F.max("contribution_m").over(Window.partitionBy("case"))
-    rows = rows.withColumn("first", (F.col("contribution_m") == rival) & (F.count("*").over(Window.partitionBy("case")) == 2))
-    counts = rows.groupBy("type", "role").agg(
-        F.sum((F.col("contribution_m") >= ACTED_M).cast("long")).alias("acted"), F.sum(F.col("first").cast("long")).alias("more")
-    )
+    pair = Window.partitionBy("case")  # at most two rows
+    more = (F.col("contribution_m") == F.max("contribution_m").over(pair)) & (F.count("*").over(pair) == 2)
+    rows = durable(rows.select("type", "role", "contribution_m", more.alias("more")))
+    counts = rows.groupBy("type", "role").agg(F.count_if(F.col("contribution_m") >= ACTED_M).alias("acted"), F.count_if("more").alias("more"))
     spread = quantiles(rows, ["type", "role"], "contribution_m", (0.5,)).withColumnRenamed("q50", "contribution_q50")
     return spread.join(counts, ["type", "role"])
 
 
-def passed_astern(cases: DataFrame, reports: DataFrame) -> DataFrame:
+def passed_astern(cases: DataFrame, reports: DataFrame, max_span_s: float = MAX_SPAN_S) -> DataFrame:
     """(case, astern): whether in a crossing the vessel that gives way was abaft the other's beam at the real closest
-    approach, by the other's course between its positions a second apart."""
+    approach, by the other's course between its positions a second apart; null where a position isn't known."""
     crossing = cases.filter("type = 'crossing'").withColumns(
         {"giver": F.when(F.col("role_a") == "give_way", F.col("mmsi_a")).otherwise(F.col("mmsi_b")), "holder": F.when(F.col("role_a") == "give_way", F.col("mmsi_b")).otherwise(F.col("mmsi_a"))}
     )
-    met = crossing.join(actual_closest(crossing, reports).filter("covered"), "case")
+    met = crossing.join(actual_closest(crossing, reports, max_span_s).filter("covered"), "case")
     points = F.array(
         F.struct(F.col("giver").alias("mmsi"), F.col("closest_t").alias("at"), F.lit("g").alias("what")),
         F.struct(F.col("holder").alias("mmsi"), F.col("closest_t").alias("at"), F.lit("h").alias("what")),
         F.struct(F.col("holder").alias("mmsi"), (F.col("closest_t") - 1).alias("at"), F.lit("h0").alias("what")),
     )
     asked = met.select("case", F.inline(points)).select("mmsi", "at", "case", "what")
-    placed = interpolated(reports, asked, ["case", "what"])
+    placed = interpolated(reports, asked, ["case", "what"], max_span_s)
     pick = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c))).alias(f"{what}_{c}")
     wide = placed.groupBy("case").agg(*(pick(w, c) for w in ("g", "h", "h0") for c in ("lat", "lon")))
     east = geo.east_m(F.col("h0_lat"), F.col("h0_lon"), F.col("h_lon"))
@@ -223,19 +247,35 @@ def next_position_errors(tracked: DataFrame, fixes: DataFrame) -> DataFrame:
         F.when(known, geo.haversine_m(lat, lon, *here)).otherwise(geo.haversine_m(b["lat"], b["lon"], *here)).alias("dead_reckoning_m"),
         F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
     ).filter("step IS NOT NULL")
-    expected = tracked.filter("predicted_lat IS NOT NULL").select(F.col("seq"), "predicted_lat", "predicted_lon")
+    own = [c for c in ("run",) if c in tracked.columns]
+    expected = tracked.filter("predicted_lat IS NOT NULL").select(F.col("seq"), *own, "predicted_lat", "predicted_lon")
     met = errors.join(expected, "seq", "left")
     return met.withColumn("track_m", geo.haversine_m(F.col("predicted_lat"), F.col("predicted_lon"), F.col("_lat"), F.col("_lon"))).drop("_lat", "_lon", "predicted_lat", "predicted_lon")
 
 
 def error_table(errors: DataFrame, value: str) -> DataFrame:
-    """(step, moving, n, q50, q90) of one predictor."""
-    return quantiles(errors, ["step", "moving"], value)
-
-
-def score(table: DataFrame, least: int = 30) -> DataFrame:
-    """One row (score): the mean over well-filled steps of the moving vessels' median error."""
-    return table.filter((F.col("n") >= least) & F.col("moving")).agg(F.avg("q50").alias("score"))
+    """(step, reports, n, q50, q90) of one predictor, of `all` reports and of those of `moving` vessels."""
+    both = F.when(F.col("moving"), F.array(F.lit("all"), F.lit("moving"))).otherwise(F.array(F.lit("all")))
+    return quantiles(errors.select("step", F.explode(both).alias("reports"), value), ["step", "reports"], value)
+
+
+def score(table: DataFrame, by: list[str], least: int = 30) -> DataFrame:
+    """(by..., score): the mean over well-filled steps of the moving vessels' median error."""
+    return table.filter((F.col("n") >= least) & (F.col("reports") == "moving")).groupBy(*by).agg(F.avg("q50").alias("score"))
+
+
+def grid_search(fixes: DataFrame, accelerations: tuple[float, ...], positions: tuple[float, ...], velocities: tuple[float, ...]) -> DataFrame:
+    """(sigma_accel, pos_sigma_m, sigma_velocity, score, dead_reckoning_score) for the product of three lists of noise
+    levels; dead reckoning has none, so its score is the same. One job for all: runs are keys."""
+    sets = list(product(accelerations, positions, velocities))
+    grid = [(tracker.Params(sigma_accel=a, sigma_velocity=v), p) for a, p, v in sets]
+    errors = durable(next_position_errors(tracker.track_each(fixes, grid), fixes).filter("moving AND run IS NOT NULL"))
+    moving = errors.select("run", "step", F.lit("moving").alias("reports"), "track_m", "dead_reckoning_m")
+    found = score(quantiles(moving, ["run", "step", "reports"], "track_m", (0.5,)), ["run"])
+    once = moving.filter("run = 0")
+    other = score(quantiles(once, ["step", "reports"], "dead_reckoning_m", (0.5,)), ["reports"]).select(F.col("score").alias("dead_reckoning_score"))
+    names = fixes.sparkSession.createDataFrame([(k, *map(float, s)) for k, s in enumerate(sets)], "run long, sigma_accel double, pos_sigma_m double, sigma_velocity double")
+    return F.broadcast(names).join(found, "run").join(F.broadcast(other)).drop("run")
 
 
 def gate_confusion(tracked: DataFrame, outliers: DataFrame) -> DataFrame:

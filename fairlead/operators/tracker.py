@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from fairlead.functions import geo
 from fairlead.operators.folds import fold
 
+#: Vessels of several runs are told apart by multiples of this number.
+RUN = 10_000_000_000
 OUTCOMES = ("started", "updated", "duplicate", "out_of_order", "rejected", "restarted")
 
 
@@ -166,6 +168,23 @@ def track(fixes: DataFrame, params: Params = Params()) -> DataFrame:
     return fold(rows, "mmsi", ["t", "seq"], lambda: Track(params), step, SCHEMA)
 
 
+def track_each(fixes: DataFrame, grid: list[tuple[Params, float]]) -> DataFrame:
+    """The rows of `track` with a column `run`, for each of several (parameters, position uncertainty), in one pass:
+    each run's vessels are keys of their own."""
+    spark = fixes.sparkSession
+    runs = spark.createDataFrame([(k, float(sigma)) for k, (_, sigma) in enumerate(grid)], "run long, pos_sigma_m double")
+    base = fixes.select("seq", "mmsi", "t", "lat", "lon", "sog", "cog").join(F.broadcast(runs))
+    rows = base.withColumn("mmsi", F.col("run") * RUN + F.col("mmsi"))
+
+    def first_step(state: list[Track], fix: dict) -> list[tuple]:
+        if not state:
+            state.append(Track(grid[fix["run"]][0]))
+        return step(state[0], fix)
+
+    found = fold(rows, "mmsi", ["t", "seq"], list, first_step, SCHEMA)
+    return found.withColumns({"run": F.floor(F.col("mmsi") / RUN), "mmsi": F.col("mmsi") % RUN})
+
+
 def tracks(tracked: DataFrame) -> DataFrame:
     """The current track of every vessel: its last row."""
     last = F.max_by(F.struct("track_t", "lat", "lon", "v_east", "v_north", "sigma_m", "updates"), F.struct("t", "seq"))

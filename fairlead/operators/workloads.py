@@ -18,9 +18,10 @@ KINDS = ("impossible_speed", "position_jump", "gap", "identity_conflict")
 
 
 def uniform(seed: Column | int, *ids: Column | str) -> Column:
-    """[0, 1) from a seed and ids."""
-    h = F.xxhash64(F.lit(seed) if isinstance(seed, int) else seed, *ids)
-    return F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53)
+    """[0, 1) from the first 52 bits of MD5 over a seed and ids."""
+    parts = [F.lit(seed) if isinstance(seed, int) else seed, *(F.col(i) if isinstance(i, str) else i for i in ids)]
+    digest = F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
+    return F.conv(F.substr(digest, F.lit(1), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
 
 
 def normal(seed: int, *ids: Column | str) -> Column:
@@ -33,14 +34,19 @@ def global_copies(points: DataFrame, copies: int) -> DataFrame:
     """(id, lat, lon): the points and copies of them turned about different axes of the sphere."""
     out = points.select("id", "lat", "lon")
     for k in range(1, copies):
-        z, angle = 2 * ((k * 0.618034) % 1) - 1, 2 * math.pi * ((k * 0.754878) % 1)
-        r = math.sqrt(1 - z * z)
-        turned = geo.rotated(*geo.ecef(F.col("lat"), F.col("lon")), (r * math.cos(angle), r * math.sin(angle), z), 2 * math.pi * ((k * 0.569840) % 1))
-        lat, lon = geo.lat_lon(*turned)
+        *axis, angle = axis_of(k)
+        lat, lon = geo.lat_lon(*geo.rotated(*geo.ecef(F.col("lat"), F.col("lon")), tuple(axis), angle))
         out = out.unionByName(points.select((F.col("id") + k * 10_000_000_000).alias("id"), lat.alias("lat"), lon.alias("lon")))
     return out
 
 
+def axis_of(k: int) -> tuple[float, float, float, float]:
+    """A unit axis and an angle for the k-th copy, spread by irrational steps."""
+    z, way = 2 * ((k * 0.618034) % 1) - 1, 2 * math.pi * ((k * 0.754878) % 1)
+    r = math.sqrt(1 - z * z)
+    return r * math.cos(way), r * math.sin(way), z, 2 * math.pi * ((k * 0.569840) % 1)
+
+
 def denser(points: DataFrame, copies: int, spread_m: float = 1000.0, seed: int = 42) -> DataFrame:
     """(id, lat, lon): the points and jittered copies around each, as in a crowded port."""
     each = points.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("k"))

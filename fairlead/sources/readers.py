@@ -21,7 +21,7 @@ def read_lines(spark: SparkSession, path: str, keep_bytes: bool = False) -> Data
 
 
 def stream_lines(spark: SparkSession, directory: str, per_batch: int = 100) -> DataFrame:
-    """The same for a directory that files land in; a pipe's lines arrive this way."""
+    """The same for a directory that files land in."""
     return spark.readStream.format("text").option("maxFilesPerTrigger", per_batch).load(directory).withColumnRenamed("value", "line")
 
 
@@ -34,11 +34,6 @@ def framed(chunks: DataFrame, max_length: int = MAX_SOCKET_LINE) -> DataFrame:
     return raw.filter(F.length("raw") <= max_length).select("seq", "place", line.alias("line")).filter("line <> ''")
 
 
-def newest(lines: DataFrame, most: int = 65536) -> DataFrame:
-    """The newest `most` lines of a batch: how a bounded live queue drops the oldest. For foreachBatch."""
-    return lines.orderBy(F.desc("seq")).limit(most)
-
-
 def slice_of_area(fixes: DataFrame, hour_start: float, south: float, west: float, north: float, east: float) -> DataFrame:
     """One hour of one box."""
     inside = F.col("lat").between(south, north) & F.col("lon").between(west, east)

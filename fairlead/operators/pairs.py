@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from fairlead.functions import geo
 from fairlead.functions.stages import running
 
-METHODS = ("grid", "latitude", "brute")
+METHODS = ("grid", "latitude", "brute", "tree")
+#: Points that the tree's splits are fitted on, and its depth.
+SPLIT_SAMPLE, DEPTH = 10_000, 5
 
 
 def _placed(points: DataFrame, id_col: str, by: list[str], carry: list[str]) -> DataFrame:
@@ -56,12 +58,53 @@ def _met(placed: DataFrame, by: list[str], axes: str, side: float) -> DataFrame:
     return met.filter("a.id < b.id OR (NOT same AND a.id > b.id)").select(*by, "a", "b")
 
 
+def splits(placed: DataFrame, sample: int = SPLIT_SAMPLE, depth: int = DEPTH) -> list[tuple[int, str, float]]:
+    """(node, axis, at) of a k-d tree: node n has children 2 n and 2 n + 1, and is split at the median of its widest axis.
+
+    Fitted on at most `sample` points, those whose ids hash least; which points these are says how even the leaves
+    are, not what is found.
+    """
+    some = placed.select("p.id", "p.x", "p.y", "p.z").orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows, found = {1: some.select("x", "y", "z").collect()}, []
+    for node in range(1, 1 << depth):
+        own = rows.pop(node, [])
+        if len(own) > 1:
+            axis = max(range(3), key=lambda k: max(r[k] for r in own) - min(r[k] for r in own))
+            at = sorted(r[axis] for r in own)[len(own) // 2]
+            rows[2 * node], rows[2 * node + 1] = [r for r in own if r[axis] < at], [r for r in own if r[axis] >= at]
+            found.append((node, "xyz"[axis], float(at)))
+    return found
+
+
+def _met_in_leaves(placed: DataFrame, by: list[str], reach: float) -> DataFrame:
+    """Rows (by..., a, b): left rows are in their own leaf of a k-d tree, right rows in all leaves that lie within reach."""
+    tree = {node: (axis, at) for node, axis, at in splits(placed)}
+
+    def leaf(node: int) -> Column:
+        if node not in tree:
+            return F.lit(node)
+        axis, at = tree[node]
+        return F.when(F.col(f"p.{axis}") < at, leaf(2 * node)).otherwise(leaf(2 * node + 1))
+
+    def leaves(node: int) -> Column:
+        if node not in tree:
+            return F.array(F.lit(node))
+        axis, at = tree[node]
+        low, high, none = F.col(f"p.{axis}") - reach < at, F.col(f"p.{axis}") + reach >= at, F.array().cast("array<int>")
+        return F.concat(F.when(low, leaves(2 * node)).otherwise(none), F.when(high, leaves(2 * node + 1)).otherwise(none))
+
+    left = placed.select(*by, F.col("p").alias("a"), leaf(1).alias("leaf"))
+    right = placed.select(*by, F.col("p").alias("b"), F.explode(leaves(1)).alias("leaf"))
+    return left.join(right, [*by, "leaf"]).filter("a.id < b.id").select(*by, "a", "b")
+
+
 def candidates(
     points: DataFrame, radius_m: float, method: str = "grid", id_col: str = "id", by: list[str] | None = None, carry: list[str] | None = None
 ) -> DataFrame:
     """(by..., a, b, chord2): pairs that a method compares, a.id < b.id, with the squared chord between them.
 
-    The grid has cubes; `latitude` has bands as high as the radius, which is the classic sweep as an equi-join.
+    The grid has cubes; `latitude` has bands as high as the radius, which is the classic sweep as an equi-join; `tree` has
+    the leaves of a k-d tree, where each point meets those of its own leaf and of leaves within the radius.
     """
     by, carry = by or [], carry or []
     placed = _placed(points, id_col, by, carry)
@@ -69,6 +112,8 @@ def candidates(
     if method == "brute":
         left, right = placed.withColumnRenamed("p", "a"), placed.withColumnRenamed("p", "b")
         met = (left.join(right, by) if by else left.crossJoin(right)).filter("a.id < b.id")
+    elif method == "tree":
+        met = _met_in_leaves(placed, by, side)
     else:
         met = _met(placed, by, {"grid": "xyz", "latitude": "z"}[method], side)
     square = lambda axis: F.pow(F.col(f"a.{axis}") - F.col(f"b.{axis}"), F.lit(2.0))

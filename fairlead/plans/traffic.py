@@ -35,7 +35,7 @@ def p1_ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = pairs.snapshot_of_busiest(fixes(spark, sf_dir))
-    each = [pairs.statistics(points, RADIUS_M, m, "mmsi") for m in pairs.METHODS]
+    each = [pairs.statistics(points, RADIUS_M, m, "mmsi") for m in ("grid", "latitude", "brute")]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
@@ -141,6 +141,7 @@ QUERIES = {
     "p2_pairs_brute": _pairs("brute"),
     "p3_pairs_latitude": _pairs("latitude"),
     "p4_pairs_grid": _pairs("grid"),
+    "p5_pairs_tree": _pairs("tree"),
     "p7_statistics": p7_statistics,
     "p8_busiest_minute": p8_busiest_minute,
     "p9_last_positions": p9_last_positions,
@@ -155,6 +156,7 @@ ORACLES = {
     "p2_pairs_brute": _PAIRS_SQL,
     "p3_pairs_latitude": _PAIRS_SQL,
     "p4_pairs_grid": _PAIRS_SQL,
+    "p5_pairs_tree": _PAIRS_SQL,
     "p7_statistics": f"""WITH {FIXES_SQL}, {_SNAPSHOT}, cells AS (SELECT mmsi, CAST(floor({geo.EARTH_RADIUS_M} * cos(radians(lat)) * cos(radians(lon)) / {_SIDE}) AS BIGINT) AS cx,
         CAST(floor({geo.EARTH_RADIUS_M} * cos(radians(lat)) * sin(radians(lon)) / {_SIDE}) AS BIGINT) AS cy, CAST(floor({geo.EARTH_RADIUS_M} * sin(radians(lat)) / {_SIDE}) AS BIGINT) AS cz FROM points),
         both_ AS (SELECT abs(a.cz - b.cz) <= 1 AS band, abs(a.cz - b.cz) <= 1 AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AS cube FROM cells a JOIN cells b ON a.mmsi < b.mmsi)

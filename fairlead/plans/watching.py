@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fairlead.functions import geo
 from fairlead.operators import anomalies, risk, tracker
-from fairlead.plans.traffic import _ROUND, RISKS_SQL, SESSIONS_SQL, rounded
+from fairlead.operators.fixes import is_sar_aircraft
+from fairlead.plans.traffic import _ROUND, MOTIONS_SQL, RISKS_SQL, SESSIONS_SQL, rounded
+from fairlead.sources import recorder
 from fairlead.sources.tables import FIXES_SQL, fixes
 
 
@@ -50,6 +52,28 @@ def a2_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("seq", found.alias("reachable"))
 
 
+def k4_anomaly_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flags as JSON objects, read back."""
+    names = {"kind": "string", "mmsi": "long", "t": "double", "lat": "double", "lon": "double", "value": "double", "distance_m": "double"}
+    made = recorder.as_json(anomalies.detect(fixes(spark, sf_dir)), list(names))
+    back = made.select(F.from_json("json", ", ".join(f"{n} {t}" for n, t in names.items())).alias("r")).select("r.*")
+    return rounded(back, {"lat": 6, "lon": 6, "value": 3, "distance_m": 3})
+
+
+def k5_encounter_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first assessment of every encounter as JSON objects, read back."""
+    names = {"t": "double", "mmsi_a": "long", "mmsi_b": "long", "type": "string", "role_a": "string", "role_b": "string", "range_m": "double", "tcpa_s": "double", "dcpa_m": "double"}
+    found = risk.encounters(risk.at_risk(risk.dead_reckoned(fixes(spark, sf_dir)))).withColumnRenamed("minute", "t")
+    back = recorder.as_json(found, list(names)).select(F.from_json("json", ", ".join(f"{n} {t}" for n, t in names.items())).alias("r")).select("r.*")
+    return rounded(back, {"range_m": 3, "tcpa_s": 2, "dcpa_m": 2})
+
+
+def n12_aircraft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether numbers, every fifth of them made one of a search and rescue aircraft, are such."""
+    number = F.when(F.col("seq") % 5 == 0, 111_000_000 + F.col("seq") % 1_000_000).otherwise(F.col("mmsi"))
+    return fixes(spark, sf_dir).select("seq", is_sar_aircraft(number).alias("aircraft"))
+
+
 def a3_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(anomalies.detect(fixes(spark, sf_dir)), {"lat": 6, "lon": 6, "value": 3, "distance_m": 3})
 
@@ -173,10 +197,15 @@ accepted AS (SELECT *, lead(moment) OVER (PARTITION BY mmsi ORDER BY moment, seq
 motions AS (SELECT minute, mmsi, lat + vn * (minute - moment) / {_M} AS lat, lon + ve * (minute - moment) / ({_M} * cos(radians(lat))) AS lon, ve AS v_east, vn AS v_north FROM accepted
             WHERE (next_t IS NULL OR next_t >= minute) AND minute - moment <= 60 AND minute <= (SELECT floor(max(t) / 60) * 60 FROM fixes))"""
 
+_FLAGS_SQL = f"""{SEEN_WITH} SELECT kind, mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, round(value, 3) AS value, round(distance_m, 3) AS distance_m FROM (
+        SELECT 'impossible_speed' AS kind, mmsi, t, lat, lon, sog AS value, 0::DOUBLE AS distance_m FROM fixes WHERE sog > 50
+        UNION ALL SELECT kind, mmsi, jt, jlat, jlon, value, distance_m FROM seen WHERE kind IS NOT NULL
+        UNION ALL SELECT 'gap', mmsi, t, lat, lon, value, distance_m FROM gaps WHERE judged = 'gap')"""
+
 QUERIES = {
     "t5_tracked": t5_tracked, "t6_predictions": t6_predictions, "t8_tracks": t8_tracks, "t9_statistics": t9_statistics,
     "r5_track_encounters": r5_track_encounters, "a1_impossible_speeds": a1_impossible_speeds, "a2_reachable": a2_reachable,
-    "a3_flags": a3_flags, "a6_gap_candidates": a6_gap_candidates, "a7_judged_gaps": a7_judged_gaps,
+    "k4_anomaly_json": k4_anomaly_json, "k5_encounter_json": k5_encounter_json, "n12_aircraft": n12_aircraft, "a3_flags": a3_flags, "a6_gap_candidates": a6_gap_candidates, "a7_judged_gaps": a7_judged_gaps,
     "a11_statistics": a11_statistics, "a12_implied_speeds": a12_implied_speeds, "e16_summary": e16_summary,
 }
 ORACLES = {
@@ -190,10 +219,10 @@ ORACLES = {
     "a1_impossible_speeds": f"WITH {FIXES_SQL} SELECT 'impossible_speed' AS kind, mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, sog AS value, 0::DOUBLE AS distance_m FROM fixes WHERE sog > 50",
     "a2_reachable": f"""WITH {FIXES_SQL}, {_PREVIOUS} SELECT seq, {_STEP} <= CASE WHEN sog IS NOT NULL AND bsog IS NOT NULL THEN least(50, greatest(sog, bsog) + 15) ELSE 50 END * {geo.KNOT_MS} * abs(t - bt) + 500 AS reachable
         FROM b WHERE bt IS NOT NULL""",
-    "a3_flags": f"""{SEEN_WITH} SELECT kind, mmsi, t, round(lat, 6) AS lat, round(lon, 6) AS lon, round(value, 3) AS value, round(distance_m, 3) AS distance_m FROM (
-        SELECT 'impossible_speed' AS kind, mmsi, t, lat, lon, sog AS value, 0::DOUBLE AS distance_m FROM fixes WHERE sog > 50
-        UNION ALL SELECT kind, mmsi, jt, jlat, jlon, value, distance_m FROM seen WHERE kind IS NOT NULL
-        UNION ALL SELECT 'gap', mmsi, t, lat, lon, value, distance_m FROM gaps WHERE judged = 'gap')""",
+    "a3_flags": _FLAGS_SQL,
+    "k4_anomaly_json": _FLAGS_SQL,
+    "k5_encounter_json": f"WITH {FIXES_SQL}, {MOTIONS_SQL}, {RISKS_SQL}, found AS ({SESSIONS_SQL.replace('marked AS', 'WITH marked AS', 1)}) SELECT minute AS t, mmsi_a, mmsi_b, type, role_a, role_b, range_m, tcpa_s, dcpa_m FROM found",
+    "n12_aircraft": f"WITH {FIXES_SQL} SELECT seq, seq % 5 = 0 AS aircraft FROM fixes",
     "a11_statistics": f"""{SEEN_WITH}, n AS (SELECT 'fixes' AS counter, count(*) AS n FROM fixes UNION ALL SELECT 'aircraft', count(*) FROM fixes WHERE mmsi // 1000000 = 111
         UNION ALL SELECT 'vessels', count(DISTINCT mmsi) FROM heard UNION ALL SELECT 'impossible_speed', count(*) FROM fixes WHERE sog > 50 UNION ALL SELECT kind, count(*) FROM seen WHERE kind IS NOT NULL GROUP BY kind
         UNION ALL SELECT 'relocated', count(*) FROM seen WHERE relocated UNION ALL SELECT 'gap_not_regular', count(*) FROM c WHERE verdict = 'not_regular'

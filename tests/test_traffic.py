@@ -1,12 +1,13 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fairlead.functions import geo
-from fairlead.operators import anomalies, evaluate, feed, pairs, risk, tracker, workloads
+from fairlead.functions import geo, stages
+from fairlead.operators import anomalies, evaluate, feed, pairs, places, risk, tracker, workloads
 
 
 def motion(n, e, course, speed, mmsi):
@@ -79,14 +80,15 @@ def test_all_methods_find_the_same_pairs(spark):
     rows = [(k, float(np.clip(c[0] + a, -90, 90)), float((c[1] + b + 180) % 360 - 180)) for k, (c, a, b) in enumerate((centres[i % 4], *rng.normal(0, 0.08, 2)) for i in range(240))]
     df = spark.createDataFrame(rows, POINTS)
     expected = ids(pairs.within(df, 11_112.0, "brute"))
-    assert expected and all(ids(pairs.within(df, 11_112.0, m)) == expected for m in ("grid", "latitude"))
+    assert expected and all(ids(pairs.within(df, 11_112.0, m)) == expected for m in ("grid", "latitude", "tree"))
     distance = geo.haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     met = df.alias("a").join(df.alias("b"), F.col("a.id") < F.col("b.id")).filter(distance <= 11_112.0)
     assert expected == sorted((r[0], r[1]) for r in met.select("a.id", "b.id").collect())
 
 
-def test_special_places(spark):
-    at = lambda rows, radius: len(ids(pairs.within(spark.createDataFrame(rows, POINTS), radius)))
+@pytest.mark.parametrize("method", ["grid", "tree"])
+def test_special_places(spark, method):
+    at = lambda rows, radius: len(ids(pairs.within(spark.createDataFrame(rows, POINTS), radius, method)))
     assert at([(1, 0.0, 179.99), (2, 0.0, -179.99)], 5000.0) == 1
     assert at([(k, 89.99, 90.0 * k) for k in range(4)], 5000.0) == 6
     assert at([(k, 55.0, 12.0) for k in range(50)], 0.0) == 1225
@@ -215,6 +217,50 @@ def test_windows_and_recursion_see_the_same_silences(spark):
     assert native and native == sorted((r.mmsi, r.t) for r in anomalies.per_vessel(df).filter("kind = 'gap_candidate'").collect())
 
 
+def test_runs_of_reports_may_be_cut_anywhere():
+    """Going on to the next break of a run gives what taking reports one by one gives."""
+    rng, kinds = random.Random(7), set()
+    for case in range(400):
+        p, t, rows = anomalies.Params(forget_s=rng.choice((10_800.0, 1200.0)), listening_since=rng.choice((float("-inf"), T0 + 900))), T0, []
+        for _ in range(rng.randrange(2, 80)):
+            t += rng.choice((0, 5, 10, 10, 30, 30, 60, 200, 700, 1500))
+            base = rng.choice(((55.0, 12.0),) * 5 + ((55.1, 12.0), (55.0, 12.3)))
+            late = rng.choice((0,) * 9 + (40,))
+            rows.append((t - late, base[0] + rng.gauss(0, 1e-3), base[1] + rng.gauss(0, 1e-3), rng.choice((math.nan, 0.0, 3.0, 14.0))))
+        columns = [np.array(c) for c in zip(*rows, strict=True)]
+        once, each = places.Sightings(p), places.Sightings(p)
+        whole = once.feed(1, *columns)
+        single = [x for k in range(len(rows)) for x in each.feed(1, *(c[k : k + 1] for c in columns))]
+        assert [w[:3] for w in whole] == [x[:3] for x in single], case
+        assert not whole or np.allclose([w[3:7] for w in whole], [x[3:7] for x in single])
+        kinds |= {w[0] for w in whole}
+    assert kinds == {"vessel", "expired", "position_jump", "identity_conflict", "relocated", "gap_candidate", "gap_not_regular", "gap_before_listening"}
+
+
+def test_long_histories_are_interpolated_in_linear_time(spark):
+    reports = spark.range(60_000).selectExpr("1L AS mmsi", "cast(id * 10 AS double) AS t", "55.0 + id * 1e-6 AS lat", "12.0D AS lon", "id AS seq")
+    asked = spark.range(60_000).selectExpr("1L AS mmsi", "cast(id * 10 + 5 AS double) AS at")
+    began = time.perf_counter()
+    found = evaluate.interpolated(reports, asked, []).agg(F.count("lat"), F.sum("lat")).first()
+    assert found[0] == 59_999 and time.perf_counter() - began < 60
+
+
+def test_running_sums(spark):
+    rows = [(k * 7919 % 1000, k % 5) for k in range(1000)]
+    df = spark.createDataFrame(rows, "v long, w long").repartition(6)
+    found = stages.running(df, ["v"], {"place": F.lit(1).cast("long"), "below": F.col("w")}).collect()
+    order = sorted(rows)
+    assert {(r.v, r.place, r.below) for r in found} == {(v, k, sum(w for _, w in order[:k])) for k, (v, _) in enumerate(order)}
+    assert stages.running(df.filter("false"), ["v"], {"place": F.lit(1)}).count() == 0
+
+
+def test_kept_tables_are_deleted(spark):
+    kept, other = stages.durable(spark.range(5)), stages.durable(spark.range(7))
+    assert kept.count() == 5
+    stages.discard(kept)
+    assert other.count() == 7 and stages.forget(spark) >= 1 and stages.forget(spark) == 0
+
+
 def test_exact_quantiles(spark):
     rng = random.Random(1)
     rows = [(k % 3, float(rng.randrange(20))) for k in range(101)] + [(9, 1.0), (9, 2.0)]

@@ -12,8 +12,9 @@ Contexts repeat earlier turns, so the output grows with the square of a conversa
 Conversations are gathered by one shuffle of the turns; examples are made and read back where they lie.
 
 Defined results: a null text or role is empty; turns are ordered by (turn, role, text), nulls first, so ties and
-repeated rows are all kept; rows with a null conversation form one conversation; an empty table gives no example; other
-columns are not read.
+repeated rows are all kept; rows with a null conversation form one conversation; a very long text, and a conversation of
+many turns, is one row of its example, as an example is one string; an empty table gives no example; other columns are
+not read, so their names may clash with ours.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ A row's bytes are padded with spaces to a positive multiple of 192 and stored as
 the DC-only luminance thumbnail reconstructed. One narrow stage; batches hold a bounded number of bytes beside the
 longest single text.
 
-Defined results: a null or empty text is stored as 192 spaces; equal texts give equal files and features; a null id is
-carried through; an empty table gives an empty result; other columns are not read.
+Defined results: a null or empty text is stored as 192 spaces; equal texts give equal files and features, repeated rows
+a row each; a null id is carried through; thumbnail cells that tie with the mean are 0 bits; a very long text is one
+image, coded lane by lane in a batch of its own; an empty table gives an empty result; other
+columns are not read, so their names may clash with ours.
 """
 
 from __future__ import annotations

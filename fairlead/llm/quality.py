@@ -4,8 +4,9 @@ Everything a rule looks at is a column expression over the text, so a whole tabl
 a shuffle and without user functions. A rule is a row of `RULES`: a ratio and the closed interval it has to lie in.
 
 Defined results: a null or empty text has no words and fails the base rule; a null id is carried through; repeated
-rows are judged each for itself; an empty table gives an empty result; other columns of the input are not read, so
-their names may clash with ours.
+rows are judged each for itself; a measure that ties with a threshold passes; a very long text is judged whole, by arrays
+of its words and of a hash for each; an empty table gives an empty result; other columns of the input are not read by
+`judge` and passed on by `keep`, so their names may clash with ours.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ One narrow stage. Each worker reads the tokenizer file once, counts texts in bat
 (beside the longest single text) and remembers a bounded number of pre-tokens.
 
 Defined results: a null or empty text has no tokens; special strings inside a text count as the one token they are to
-the library; a null id is carried through; repeated rows are counted each for itself; an empty table gives an empty
-result; other columns are not read.
+the library; of pairs that tie in rank the leftmost merges first; a null id is carried through; repeated rows are counted
+each for itself; a very long text is counted in parts; an empty table gives an empty result; other columns are not read,
+so their names may clash with ours.
 """
 
 from __future__ import annotations

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of kept tables that this process has written, by session folder.
 _WRITTEN: dict[str, list[str]] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -37,6 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What queries in here shuffle is deleted when they end, as their results are written, not when the driver happens
+    to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The frame written as Parquet to the shared folder and read from there.
 
@@ -45,7 +60,8 @@ def durable(df: DataFrame) -> DataFrame:
     """
     folder = shared_folder(df.sparkSession)
     path = f"{folder}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     _WRITTEN.setdefault(folder, []).append(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[kept] = path

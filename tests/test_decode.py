@@ -221,3 +221,9 @@ def test_recording(spark, tmp_path):
     lines = {r.value for r in spark.read.text(str(tmp_path)).collect()}
     assert lines == {tagged("c:86400", "!A"), r"\c:1*xx\!B"}
     assert readers.read_lines(spark, str(tmp_path)).count() == 2 == readers.read_lines(spark, str(tmp_path), keep_bytes=True).count()
+
+
+def test_tables_for_a_console(spark):
+    report = spark.createDataFrame([("gap", 1200, 3.25, None), ("jump", 7, None, True)], "kind string, n long, hours double, late boolean")
+    assert recorder.markdown(report).split("\n") == ["| kind | n | hours | late |", "| --- | ---: | ---: | --- |", "| gap | 1,200 | 3.2 | - |", "| jump | 7 | - | True |"]
+    assert recorder.markdown(report, 1).count("\n") == 2

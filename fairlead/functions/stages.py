@@ -56,8 +56,11 @@ def durable(df: DataFrame) -> DataFrame:
     """The frame written as Parquet to the shared folder and read from there.
 
     Lost executors don't matter to what has been written, later steps don't compute it again, read only the columns
-    they name, and know its size. Tables stay until `forget`, as frames that read them may be used at any time.
+    they name, and know its size. Columns of nothing but nulls without a type become strings. Tables stay until `forget`, as
+    frames that read them may be used at any time.
     """
+    void = [name for name, kind in df.dtypes if kind == "void"]  # which Parquet hasn't
+    df = df.withColumns({c: df[c].cast("string") for c in void}) if void else df
     folder = shared_folder(df.sparkSession)
     path = f"{folder}/kept-{uuid.uuid4().hex}"
     with _shuffles_removed(df.sparkSession):

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairlead.operators import nmea
+
 KEY = ["key_source", "key_seq", "key_channel", "fragment_count"]
 OUT = "seq long, payload string, fill_bits int, source string, unix_time long, channel string, talker string, own_ship boolean"
 _NAMES = [part.split()[0] for part in OUT.split(", ")]
@@ -61,9 +63,23 @@ def _whole(parsed: DataFrame) -> DataFrame:
 
 def reassemble(parsed: DataFrame) -> DataFrame:
     """Whole sentences (seq of the last fragment, payload, fill_bits, source, unix_time, channel, talker, own_ship)."""
+    return _whole(parsed).unionByName(_joined(parsed))
+
+
+def _joined(parsed: DataFrame) -> DataFrame:
     done = islands(parsed).filter(F.col("taken.n") == F.col("fragment_count"))
-    joined = done.select(*(F.col("taken.payload").alias(n) if n == "payload" else F.col(f"taken.last.{n}").alias(n) for n in _NAMES))
-    return _whole(parsed).unionByName(joined)
+    return done.select(*(F.col("taken.payload").alias(n) if n == "payload" else F.col(f"taken.last.{n}").alias(n) for n in _NAMES))
+
+
+#: A line that may hold one of several fragments; whatever else parses holds a whole message.
+SEVERAL = r"^[ \t]*(\\[^\\]*\\)?!..VD[MO],0*[2-9],"
+
+
+def sentences(lines: DataFrame) -> DataFrame:
+    """What reassemble gives, from lines: which lines can hold fragments shows before they are parsed, so each line is
+    parsed once, in the branch that it belongs to."""
+    several = F.coalesce(F.col("line").rlike(SEVERAL), F.lit(False))
+    return _whole(nmea.parse(lines.filter(~several))).unionByName(_joined(nmea.parse(lines.filter(several))))
 
 
 def dropped(parsed: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.decode(reassembly.reassemble(_parsed(spark, sf_dir)))
+    return messages.decode(reassembly.sentences(encode.report_lines(fixes(spark, sf_dir))))
 
 
 def n1_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,7 @@ def d6_other_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d7_voyage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = nmea.parse(encode.voyage_lines(fixes(spark, sf_dir)))
-    found = messages.decode(reassembly.reassemble(parsed))
+    found = messages.decode(reassembly.sentences(encode.voyage_lines(fixes(spark, sf_dir))))
     return found.select(
         "seq", "mmsi", "imo", "callsign", "name", "ship_type", F.col("dims.to_bow").alias("to_bow"), "draught_m", "destination"
     )
@@ -86,8 +85,7 @@ def k1_message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _parsed(spark, sf_dir)
-    return messages.statistics(parsed, messages.decode(reassembly.reassemble(parsed)))
+    return messages.statistics(_parsed(spark, sf_dir), _decoded(spark, sf_dir))
 
 
 def k3_fix_json(spark: SparkSession, sf_dir: str) -> DataFrame:

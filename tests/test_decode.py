@@ -157,6 +157,7 @@ def test_fragments(spark, order, complete, lost):
     found = messages.decode(reassembly.reassemble(p)).collect()
     assert len(found) == complete and reassembly.dropped(p).first()[0] == lost
     assert len(reassembly.reassemble_bounded(p).collect()) == complete
+    assert sorted(reassembly.sentences(p.select("seq", "line")).collect()) == sorted(reassembly.reassemble(p).collect())
     for r in found:
         assert (r.imo, r.callsign, r.name, r.ship_type, r.dims.to_bow, r.draught_m, r.destination) == (8100123, "OJXY7", "NORTH BUOY", 84, 211, 7.3, "PORT OF HAMINA 7")
 

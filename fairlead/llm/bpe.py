@@ -16,6 +16,7 @@ rank above the pair that made it, so this gives what merging one occurrence at a
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -26,11 +27,11 @@ import numpy as np
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The characters that the pattern's `\\s` stands for.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_WHITE = frozenset(WHITE)
+_CUT = re.compile(f"(?<![{''.join(f'\\U{c:08x}' for c in WHITE)}]) ")
 #: The contractions that are pre-tokens of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Different pre-tokens that a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Characters of a text, or of several, that are encoded together.
 LONG = 4_000_000
 
@@ -71,14 +72,9 @@ def parts_of(text: str, most: int = LONG) -> list[str]:
     """The text cut where its tokens don't depend on what is on the other side: before a plain space after anything
     but white space, the first such place that lies `most` characters or more after the last."""
     found, start = [], 0
-    while len(text) - start > most:
-        at = text.find(" ", start + most)
-        while at > 0 and ord(text[at - 1]) in _WHITE:
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        found.append(text[start:at])
-        start = at
+    while len(text) - start > most and (cut := _CUT.search(text, start + most)):
+        found.append(text[start : cut.start()])
+        start = cut.start()
     return [*found, text[start:]]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.functions.stages import durable
+from fairlead.functions.stages import discard, durable
 
 __all__ = ["components", "durable"]
 
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         # now a > b in every row
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(lower, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        now = durable(hung.select("e.*").filter("a <> b").distinct())
+        last, now = now, durable(hung.select("e.*").filter("a <> b").distinct())
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm.graph import durable
+from fairlead.functions.stages import discard, durable
 
 LENGTH, GRAM = 200, 64
 #: Bytes of a suffix that its first bucket is named by.
@@ -211,9 +211,11 @@ def _more(place: Column) -> Column:
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows that stretches are wanted of, with `wanted`, an array of struct; it is shorter than the text."""
+    """The rows that stretches are wanted of, with `wanted`, an array of struct that is shorter than the text. All
+    columns of rows are kept, here and wherever rows are read, so that every branch deals out the same frame: texts are
+    shuffled once."""
     per_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("gram", "place", "n")).alias("wanted"))
-    return rows.select("rid", "raw").join(per_text, "rid")
+    return rows.join(per_text, "rid")
 
 
 def _ends(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
@@ -275,7 +277,7 @@ def _hot_ends(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
                     yield _arrow(columns, ["gram", "window", "rid", "start", "open"])
 
     schema = "gram long, window long, rid long, start long, open boolean"
-    found = durable(_fetch(rows, reps).mapInArrow(windows, schema))
+    found = _fetch(rows, reps).mapInArrow(windows, schema)
     twice = found.groupBy("gram", "window").count().filter("count > 1")
     return found.filter("open").join(twice, ["gram", "window"], "left_semi").select("rid", "start", (F.col("start") + length).alias("stop"))
 
@@ -286,14 +288,18 @@ def duplicated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
     every = durable(anchors(rows, length, gram))
     shared = durable(every.groupBy("gram").count().filter("count > 1").select("gram"))
     placed = durable(every.join(shared, "gram", "left_semi"))
+    discard(every)
     kinds = durable(placed.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("rep")))
     again = kinds.filter("n > 1").select("gram", "stretch")
     place = F.col("place")
     whole = placed.join(again, ["gram", "stretch"], "left_semi").select(
         "rid", _first(place).alias("start"), (_first(place) + _more(place) + length).alias("stop")
     )
+    whole = durable(maximal(whole))
+    discard(placed)
     several = durable(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    reps = kinds.join(several, "gram").select("gram", "kinds", "n", "rep.rid", "rep.place")
+    reps = durable(kinds.join(several, "gram").select("gram", "kinds", "n", "rep.rid", "rep.place"))
+    discard(kinds)
     few, many = reps.filter(F.col("kinds") <= hot), reps.filter(F.col("kinds") > hot)
     return whole.unionByName(_ends(rows, few, length)).unionByName(_hot_ends(rows, many, length))
 

@@ -60,6 +60,30 @@ def test_roles_are_symmetric(spark):
     assert one == two and len(one) > 20
 
 
+def crowd(n, minutes=2):
+    """Motions in four places, one of them on the date line and one at the pole, some of them alike."""
+    rng = np.random.default_rng(8)
+    centres = [(55, 12), (0, 179.99), (89.95, 30), (-33, -70)]
+    rows = []
+    for k in range(n):
+        (lat, lon), (north, east), velocity = centres[k % 4], rng.normal(0, 0.05, 2), rng.uniform(-12, 12, 2).round(k % 3)
+        rows.append((60.0 * (k % minutes), k, float(np.clip(lat + north, -90, 90)), float((lon + east + 180) % 360 - 180), *map(float, velocity)))
+    return [*rows, *((m, k + n, *rest) for m, k, *rest in rows[:20])]
+
+
+def test_the_grid_finds_the_pairs_at_risk_of_all_pairs(spark):
+    df = spark.createDataFrame(crowd(600), MOTIONS)
+    found, expected = (sorted(map(tuple, risk.at_risk(df, method=m).collect())) for m in ("grid", "brute"))
+    assert found == expected and len(found) > 200
+
+
+def test_cells_that_are_dealt_lose_and_repeat_no_pair(spark):
+    df = spark.createDataFrame(crowd(400), MOTIONS)
+    one, many = (sorted(map(tuple, pairs.approaching(df, 11_112.0, 926.0, 1200.0, cell_rows=n).collect())) for n in (10_000, 7))
+    assert one == many and len({(r[0], r[1], r[6]) for r in one}) == len(one) > 100
+    assert len(one) < pairs.within(df, 11_112.0, "grid", "mmsi", ["minute"], ["v_east", "v_north"]).count() / 2  # few leave the comparison
+
+
 def test_sessions(spark):
     rows = [(m * 60.0, 1, 2, "crossing", "give_way", "stand_on", 100.0 + m, 5.0, 1.0) for m in (1, 2, 3, 6, 8)]
     df = spark.createDataFrame(rows, "minute double, mmsi_a long, mmsi_b long, type string, role_a string, role_b string, range_m double, tcpa_s double, dcpa_m double")

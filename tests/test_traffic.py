@@ -84,6 +84,37 @@ def test_cells_that_are_dealt_lose_and_repeat_no_pair(spark):
     assert len(one) < pairs.within(df, 11_112.0, "grid", "mmsi", ["minute"], ["v_east", "v_north"]).count() / 2  # few leave the comparison
 
 
+def test_closest_approaches_beside_reports_are_those_of_a_plain_loop(spark, monkeypatch):
+    """Also with many groups of vessels, small blocks of cases, vessels without reports and times between and beside them."""
+    monkeypatch.setattr(evaluate, "GROUP", 2)
+    monkeypatch.setattr(evaluate, "CASES", 3)
+    rng = np.random.default_rng(4)
+    seen = {m: sorted((float(t), 55 + float(a), 12 + float(b)) for t, a, b in zip(rng.integers(0, 900, 20), *rng.normal(0, 0.02, (2, 20)), strict=True)) for m in range(9)}
+    seen = {m: list({r[0]: r for r in rows}.values()) for m, rows in seen.items()}
+    cases = [(k, k % 9, k % 9 + 1 + k % 2, float(s), float(s + 60 * (k % 5))) for k, s in enumerate(rng.integers(50, 800, 120))]
+
+    def at(m, t):
+        rows = seen.get(m, [])
+        b, a = max((r for r in rows if r[0] <= t), default=None), min((r for r in rows if r[0] > t), default=None)
+        if b and b[0] == t:
+            return b[1:]
+        return tuple(b[i] + (t - b[0]) / (a[0] - b[0]) * (a[i] - b[i]) for i in (1, 2)) if b and a and a[0] - b[0] <= 120 else None
+
+    expected = {}
+    for k, a, b, t0, t1 in cases:
+        times = {t0, t1, *(r[0] for m in (a, b) for r in seen.get(m, []) if t0 <= r[0] <= t1)}
+        places = [(t, at(a, t), at(b, t)) for t in times]
+        known = all(x and y for _, x, y in places)
+        haversine = lambda x, y: 2 * geo.EARTH_RADIUS_M * math.asin(math.sqrt(math.sin(math.radians(y[0] - x[0]) / 2) ** 2 + math.cos(math.radians(x[0])) * math.cos(math.radians(y[0])) * math.sin(math.radians(y[1] - x[1]) / 2) ** 2))
+        expected[k] = (*min((haversine(x, y), t) for t, x, y in places), True) if known else (None, None, False)
+    reports = spark.createDataFrame([(m, *r) for m, rows in seen.items() for r in rows], "mmsi long, t double, lat double, lon double")
+    found = evaluate.actual_closest(spark.createDataFrame(cases, "case long, mmsi_a long, mmsi_b long, t0 double, t1 double"), reports).collect()
+    assert len(found) == len(cases) and 5 < sum(r.covered for r in found) < 115
+    for r in found:
+        d, t, covered = expected[r.case]
+        assert (r.covered, r.closest_t) == (covered, t) and (d is None) == (r.closest_m is None) and (d is None or abs(d - r.closest_m) < 1e-6)
+
+
 def test_sessions(spark):
     rows = [(m * 60.0, 1, 2, "crossing", "give_way", "stand_on", 100.0 + m, 5.0, 1.0) for m in (1, 2, 3, 6, 8)]
     df = spark.createDataFrame(rows, "minute double, mmsi_a long, mmsi_b long, type string, role_a string, role_b string, range_m double, tcpa_s double, dcpa_m double")

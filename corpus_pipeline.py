@@ -18,7 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies: shingles of five words, 0.8 similar or more. The row with the least id
+    """One document of each group of copies: shingles of five words, 0.8 similar or more, among documents that meet by
+    operator 6's fingerprints or by least hashes. The row with the least id
     stays, a null id only where there is no other, and one row of rows that repeat."""
     return near_duplicates.keep_one(docs)
 

@@ -1,16 +1,17 @@
-"""Near-duplicates by MinHash bands and exact Jaccard similarity: one document of each group of copies stays.
+"""Near-duplicates by SimHash and MinHash bands, and exact Jaccard similarity: one document of each group stays.
 
-This is what operator 6 becomes where a corpus is cleaned. Bits of a SimHash differ with probability acos(c) / pi, c
+This is operator 6 where a corpus is cleaned. Its fingerprints, inverted index, tally and verification link documents
+that differ in at most 4 bits, and those that such links lead to meet. That is not enough at this similarity: bits of a SimHash differ with probability acos(c) / pi, c
 being the cosine of two shingle sets; at a Jaccard similarity of 0.8 that is 0.15, so two bytes agree with probability
 0.27 and three with 0.02. An index of three byte positions then finds 22 % of such pairs in a word of 64 bits, and 0.9
 of them only with ten words and 200 keys for each document, keys of 24 bits that unlike documents share as well. So
-documents meet by least hashes here, as many times over, and what meets is verified.
+documents meet by least hashes too, and all that meets, in either way, is verified.
 
 A document is the set of its shingles of five words, each a 64-bit hash. `BANDS` keys, each a hash of `ROWS` of its
 `BANDS * ROWS` least values under different permutations, say where documents meet: two of Jaccard similarity s do
 under some key with probability 1 - (1 - s^5)^24, which is 99.993 % at 0.8 and 99.9999 % at 0.85. Where documents
 meet, their whole sets are compared, and pairs of 0.8 and more link, no others. So precision is exact (up to 64-bit
-collisions of shingles), and a pair is lost only where it meets under no key.
+collisions of shingles), and a pair is lost only where it meets under no key and no links of fingerprints join it.
 
 Equal sets are one entry, the row with the least id. Keys under which the same entries meet are compared once. A key's
 entries are compared in the task that sorts them, and what leaves it is a spanning forest of the links, never all
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.graph import components, durable
 from fairlead.llm.media import skinny
-from fairlead.llm.simhash import dealt
+from fairlead.llm.simhash import dealt, fingerprint
+from fairlead.llm.simhash import links as fingerprint_links
 
 WIDTH = 5
 #: Pairs link whose common shingles are at least LEAST_NUM / LEAST_DEN of all of theirs.
@@ -98,8 +100,9 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(raw.as_py()) for raw in batch.column("raw")]
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         found = pa.array([keys(s) for s in sets], pa.list_(pa.int64()))
+        bits = np.array([fingerprint(raw.as_py()) for raw in batch.column("raw")], np.uint64).view(np.int64)
         kept = [batch.column(c) for c in ("row", "no_id", "id")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.binary()), found], ["row", "no_id", "id", "digest", "keys"])
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.binary()), found, pa.array(bits)], ["row", "no_id", "id", "digest", "keys", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +160,17 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
 
 
+def alike(entries: DataFrame) -> DataFrame:
+    """(key, node) of (node, bits): entries whose fingerprints are equal or joined by links of operator 6 have one key."""
+    held = durable(entries.select("node", "bits"))
+    roots = durable(components(fingerprint_links(held.select(F.col("bits").alias("node")).distinct())))
+    rooted = held.join(_sent(roots.withColumnRenamed("node", "at")), F.col("bits") == F.col("at"), "left")
+    return durable(rooted.select(F.xxhash64(F.coalesce("root", "bits"), F.lit("bits")).alias("key"), "node"))
+
+
 def links(entries: DataFrame, texts: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """(a, b) from (node, keys) of different sets and (id, raw), the texts by row number."""
-    each = entries.select(F.explode("keys").alias("key"), "node")
+    """(a, b) from (node, keys, bits) of different sets and (id, raw), the texts by row number."""
+    each = entries.select(F.explode("keys").alias("key"), "node").unionByName(alike(entries.filter(F.size("keys") > 0)))  # an empty set is like no other
     meeting = each.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     # kept before it is joined with: a join right above an aggregation isn't split where a key is large
     once = durable(meeting.filter("n > 1").groupBy("n", "who").agg(F.min("key").alias("key")).select("key"))
@@ -176,11 +187,11 @@ def dropped(docs: DataFrame, row: str, id_col: str, text_col: str, run_limit: in
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")
     named = docs.select(F.col(row).alias("row"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), raw)
     kind = dict(named.dtypes)["id"]
-    prints = durable(named.mapInArrow(_prints, f"row long, no_id boolean, id {kind}, digest binary, keys array<long>"))
+    prints = durable(named.mapInArrow(_prints, f"row long, no_id boolean, id {kind}, digest binary, keys array<long>, bits long"))
     rank = F.struct("no_id", "id", "row")
     first = durable(prints.groupBy("digest").agg(F.min(rank).alias("first")).select("first.row"))
     nodes = durable(prints.join(_sent(first), "row", "left_semi"))
-    entries = nodes.select(F.col("row").alias("node"), "keys")
+    entries = nodes.select(F.col("row").alias("node"), "keys", "bits")
     roots = durable(components(links(entries, texts, run_limit)))
     rooted = durable(nodes.join(_sent(roots), F.col("row") == F.col("node")).select("no_id", "id", "row", "root"))
     best = rooted.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row").alias("row"))

@@ -46,6 +46,19 @@ def test_one_of_each_component_of_all_pairs_stays(spark, run_limit):
     assert kept == sorted({min(i for i in range(len(texts)) if group[i] == g) for g in set(group)})
 
 
+def test_documents_whose_fingerprints_link_meet(spark):
+    """Under no key of least hashes, but by operator 6's links: those that are similar link, those that aren't don't."""
+    rng = random.Random(5)
+    text = words(rng, 200)
+    texts = [text, changed(rng, text, 1), words(rng, 200), changed(rng, text, 1), words(rng, 200)]
+    bits = [0, 0b1111, 0b11110000, 0b11111111, -1]  # the first four are a chain of links of 4 bits
+    entries = spark.createDataFrame([(k, [k], b) for k, b in enumerate(bits)], "node long, keys array<long>, bits long")
+    found = near.links(entries, spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "id long, raw binary"))
+    assert roots(5, [(r.a, r.b) for r in found.collect()]) == roots(5, [(0, 1), (0, 3)])
+    keys = [r.key for r in near.alike(entries).orderBy("node").collect()]
+    assert len(set(keys[:4])) == 1 and keys[4] != keys[0]
+
+
 @pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.998), (0.85, 0.999), (0.9, 0.999)])
 def test_recall_of_pairs(similarity, least):
     rng = np.random.default_rng(5)

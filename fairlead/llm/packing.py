@@ -33,7 +33,7 @@ CAPACITY = 1024
 #: Windows that a partition keeps open, and partitions whose leftovers meet.
 OPEN, FAN = 64, 64
 END_ID = 0
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 400_000
 #: Sequence ids: the partition's number above these bits, a counter below, and the lowest bit set for merged ones.
 COUNTER_BITS = 34
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

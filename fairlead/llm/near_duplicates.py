@@ -16,7 +16,8 @@ collisions of shingles), and a pair is lost only where it meets under no key and
 Equal sets are one entry, the row with the least id. Keys under which the same entries meet are compared once. A key's
 entries are compared in the task that sorts them, and what leaves it is a spanning forest of the links, never all
 pairs; a key with many entries is dealt in blocks as in `simhash`. Components come from alternating stars. Sets are
-made of the documents that meet others only.
+made of the documents that meet others only, and go to the tasks that compare them without being kept; tables of keys
+are deleted once it is known who meets.
 
 Rows are numbered durably and it is numbers that are kept, one of each component: the least id, null last, then the
 least number. Texts are shuffled only where more rows than `MOST_SENT` meet others or are dropped.
@@ -37,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairlead.functions.stages import discard
 from fairlead.llm.graph import components, durable
 from fairlead.llm.media import skinny
 from fairlead.llm.simhash import dealt, fingerprint
@@ -107,8 +109,8 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = pa.array([shingles(raw.as_py()).tobytes() for raw in batch.column(1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "set"])
+        sets = pa.array([shingles(raw.as_py()).tobytes() for raw in batch.column("raw")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("runs"), batch.column("id"), sets], ["runs", "node", "set"])
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -168,21 +170,43 @@ def alike(entries: DataFrame) -> DataFrame:
     return durable(rooted.select(F.xxhash64(F.coalesce("root", "bits"), F.lit("bits")).alias("key"), "node"))
 
 
-def links(entries: DataFrame, texts: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """(a, b) from (node, keys, bits) of different sets and (id, raw), the texts by row number."""
-    each = entries.select(F.explode("keys").alias("key"), "node").unionByName(alike(entries.filter(F.size("keys") > 0)))  # an empty set is like no other
+def meetings(entries: DataFrame) -> DataFrame:
+    """(key, node), kept, from (node, keys, bits): under which keys entries meet others."""
+    joined = alike(entries.filter(F.size("keys") > 0))  # an empty set is like no other
+    each = entries.select(F.explode("keys").alias("key"), "node").unionByName(joined)
     meeting = each.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     # kept before it is joined with: a join right above an aggregation isn't split where a key is large
     once = durable(meeting.filter("n > 1").groupBy("n", "who").agg(F.min("key").alias("key")).select("key"))
     met = durable(each.join(_sent(once), "key"))
-    needed = _sent(durable(met.select(F.col("node").alias("id")).distinct()))
-    sets = durable(texts.join(needed, "id", "left_semi").mapInArrow(_sets, "node long, set binary"))
-    runs = dealt(met, run_limit).join(sets, "node").select("key", "deal", "node", "set")
-    return runs.repartition("key", "deal").sortWithinPartitions("key", "deal", "node").mapInArrow(_links, "a long, b long")
+    discard(joined)
+    discard(once)
+    return met
+
+
+def compared(met: DataFrame, texts: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """(a, b), kept, from (key, node) and (id, raw): links of those that meet. A text's set is made where the text lies
+    and goes from there to the runs that need it; it is neither kept nor shuffled before."""
+    runs = durable(dealt(met, run_limit))
+    of_each = durable(runs.groupBy(F.col("node").alias("id")).agg(F.collect_list(F.struct("key", "deal")).alias("runs")))
+    few = runs.count() <= MOST_SENT
+    sets = texts.join(F.broadcast(of_each) if few else of_each, "id").select("id", "raw", "runs")
+    sets = sets.mapInArrow(_sets, "runs array<struct<key: long, deal: long>>, node long, set binary").select(F.inline("runs"), "node", "set")
+    found = durable(sets.repartition("key", "deal").sortWithinPartitions("key", "deal", "node").mapInArrow(_links, "a long, b long"))
+    discard(runs)
+    discard(of_each)
+    return found
+
+
+def links(entries: DataFrame, texts: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """(a, b) from (node, keys, bits) of different sets and (id, raw), the texts by row number."""
+    met = meetings(entries)
+    found = compared(met, texts, run_limit)
+    discard(met)
+    return found
 
 
 def dropped(docs: DataFrame, row: str, id_col: str, text_col: str, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """(row): the numbers of all rows but one of each component."""
+    """(row): the numbers of all rows but one of each component. Keys are deleted before sets are made."""
     texts = skinny(docs, row, text_col)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")
     named = docs.select(F.col(row).alias("row"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), raw)
@@ -190,13 +214,18 @@ def dropped(docs: DataFrame, row: str, id_col: str, text_col: str, run_limit: in
     prints = durable(named.mapInArrow(_prints, f"row long, no_id boolean, id {kind}, digest binary, keys array<long>, bits long"))
     rank = F.struct("no_id", "id", "row")
     first = durable(prints.groupBy("digest").agg(F.min(rank).alias("first")).select("first.row"))
-    nodes = durable(prints.join(_sent(first), "row", "left_semi"))
-    entries = nodes.select(F.col("row").alias("node"), "keys", "bits")
-    roots = durable(components(links(entries, texts, run_limit)))
+    copies = durable(prints.select("row").join(_sent(first), "row", "left_anti"))
+    keyed = durable(prints.join(_sent(first), "row", "left_semi").drop("digest"))
+    discard(prints)
+    nodes = durable(keyed.select("row", "no_id", "id"))
+    met = meetings(keyed.select(F.col("row").alias("node"), "keys", "bits"))
+    discard(keyed)
+    linked = compared(met, texts, run_limit)
+    discard(met)
+    roots = durable(components(linked))
     rooted = durable(nodes.join(_sent(roots), F.col("row") == F.col("node")).select("no_id", "id", "row", "root"))
     best = rooted.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row").alias("row"))
     others = rooted.select("row").join(best, "row", "left_anti")
-    copies = prints.select("row").join(_sent(first), "row", "left_anti")
     return copies.unionByName(others)
 
 

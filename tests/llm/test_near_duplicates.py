@@ -96,3 +96,16 @@ def test_rows_with_null_and_repeated_ids(spark):
     assert len(kept) == 5
     assert [i for i, t in kept if brute_set(t) & brute_set(a)] == [None]
     assert {(7, b), (8, c), (8, d), (3, e)} <= set(kept)
+
+
+def test_keys_and_sets_are_not_left_on_disk(spark):
+    from fairlead.functions import stages
+
+    rng = random.Random(8)
+    texts = [words(rng, 80) for _ in range(6)]
+    texts += [changed(rng, t, 1) for t in texts[:4]]
+    stages.forget(spark)
+    kept = near.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    left = [spark.read.parquet(path).columns for path in stages._WRITTEN[stages.shared_folder(spark)]]
+    assert left and not any({"keys", "key", "set", "runs"} & set(columns) for columns in left)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(6))
